@@ -21,6 +21,7 @@ from sedgewren.session import table
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
+SYMBOL_CLASS = "[#*$%&|<>]"
 
 #: Phrases of page furniture, lower case.
 BOILERPLATE = (
@@ -44,13 +45,14 @@ BOILERPLATE = (
 @dataclass(frozen=True)
 class LineRules:
     """A line fails on any of: more than max_bars vertical bars a word; more than max_symbols symbols a word; no lower
-    case but capitals, with min_shout words at least; a boilerplate phrase; no end punctuation, with min_unfinished
+    case but capitals, with min_shout words at least; a boilerplate phrase, in at most max_furniture words; no end punctuation, with min_unfinished
     words at least. A document is rejected if its failing lines hold over max_lost_percent of its words."""
 
     max_bars: float = 0.25
     max_symbols: float = 0.5
     min_shout: int = 4
     min_unfinished: int = 60
+    max_furniture: int = 25
     max_lost_percent: int = 40
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -66,23 +68,26 @@ def without(text: Column, chars: str) -> Column:
     return text
 
 
+def trimmed_line(line: Column) -> Column:
+    return F.struct(line.alias("line"), F.split(line, SPACE_CLASS + "+").alias("words"))
+
+
 def line_facts(line: Column, words: Column, rules: LineRules) -> Column:
-    """Counts of a trimmed line that has a word, and whether it is to go."""
-    symbols = F.length(line) - F.length(without(line, SYMBOLS))
+    """Counts of a trimmed line that has a word, given its words, and whether it is to go."""
+    size = F.size(words)
+    has_symbols = line.rlike(SYMBOL_CLASS)
+    symbols = F.when(has_symbols, F.length(line) - F.length(without(line, SYMBOLS))).otherwise(F.lit(0))
     bars = F.length(line) - F.length(without(line, "|"))
-    lower = F.lower(line)
-    furniture = F.lit(False)
-    for phrase in rules.boilerplate:
-        furniture = furniture | F.contains(lower, F.lit(phrase))
+    furniture = (size <= rules.max_furniture) & F.lower(line).rlike("|".join(rules.boilerplate))
+    noisy = has_symbols & ((bars > F.lit(rules.max_bars) * size) | (symbols > F.lit(rules.max_symbols) * size))
     fails = (
-        (bars > F.lit(rules.max_bars) * words)
-        | (symbols > F.lit(rules.max_symbols) * words)
-        | ((words >= rules.min_shout) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"))
-        | ((words >= rules.min_unfinished) & ~line.rlike(END_MARK))
+        noisy
+        | ((size >= rules.min_shout) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"))
+        | ((size >= rules.min_unfinished) & ~line.rlike(END_MARK))
         | furniture
     )
     return F.struct(
-        words.cast("long").alias("words"), F.length(without(line, SPACES)).cast("long").alias("chars"), symbols.cast("long").alias("symbols"), fails.alias("fails")
+        size.cast("long").alias("words"), F.length(F.array_join(words, "")).cast("long").alias("chars"), symbols.cast("long").alias("symbols"), fails.alias("fails")
     )
 
 
@@ -99,10 +104,9 @@ def apply_rules(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     none = F.array().cast("array<long>")
     at = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c) for c in keep])
     at = at.withColumn("_raw", F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
-    at = at.withColumn("_lines", F.transform("_raw", lambda x: F.btrim(x, F.lit(SPACES))))
-    at = at.withColumn("_split", F.transform("_lines", lambda x: F.split(x, SPACE_CLASS + "+")))
-    at = at.withColumn("_facts", F.transform("_lines", lambda x, i: line_facts(x, F.size(F.get("_split", i)), rules)))
-    at = at.withColumn("_words", F.flatten("_split"))
+    at = at.withColumn("_lines", F.transform("_raw", lambda x: trimmed_line(F.btrim(x, F.lit(SPACES)))))
+    at = at.withColumn("_facts", F.transform("_lines", lambda x: line_facts(x["line"], x["words"], rules)))
+    at = at.withColumn("_words", F.flatten(F.transform("_lines", lambda x: x["words"])))
     at = at.withColumn("n_words", F.size("_words").cast("long"))
     at = at.withColumn(
         "_windows",
@@ -149,10 +153,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents")).select(*COLUMNS)
 
 
-def _contains_any(phrases: tuple[str, ...]) -> str:
-    return " OR ".join(f"contains(lower(t), '{p}')" for p in phrases)
-
-
 def op10_oracle(rules: LineRules = LineRules()) -> str:
     """DuckDB SQL for the query: lines and windows are unnested and grouped."""
     return f"""
@@ -169,7 +169,7 @@ judged AS (
   SELECT *, bars > {rules.max_bars} * w OR symbols > {rules.max_symbols} * w
     OR (w >= {rules.min_shout} AND NOT regexp_matches(t, '\\p{{Ll}}') AND regexp_matches(t, '\\p{{Lu}}'))
     OR (w >= {rules.min_unfinished} AND NOT regexp_matches(t, '{END_MARK.replace("'", "''")}'))
-    OR {_contains_any(rules.boilerplate)} AS fails FROM facts),
+    OR (w <= {rules.max_furniture} AND regexp_matches(lower(t), '{"|".join(rules.boilerplate)}')) AS fails FROM facts),
 by_line AS (
   SELECT doc_id, CAST(sum(w) AS BIGINT) AS n_words, CAST(sum(chars) AS BIGINT) AS word_chars, CAST(sum(symbols) AS BIGINT) AS n_symbols,
     CAST(count(*) - count(DISTINCT l) AS BIGINT) AS n_dup_lines, CAST(sum(CASE WHEN fails THEN w ELSE 0 END) AS BIGINT) AS n_words_lost
