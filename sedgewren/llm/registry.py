@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sedgewren.llm.byte_cnn import op1_quality_cnn
+from sedgewren.llm.fingerprints import op3_fingerprints
+from sedgewren.llm.language_id import op5_language_id
 from sedgewren.llm.quality_rules import op10_oracle, op10_quality_rules
+from sedgewren.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_cnn": op1_quality_cnn,
+        "op3_fingerprints": op3_fingerprints,
+        "op5_language_id": op5_language_id,
+        "op7_toxicity": op7_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
 
