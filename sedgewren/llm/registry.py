@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sedgewren.llm.bpe import op9_bpe
 from sedgewren.llm.byte_cnn import op1_quality_cnn
 from sedgewren.llm.fingerprints import op3_fingerprints
 from sedgewren.llm.language_id import op5_language_id
+from sedgewren.llm.packing import op8_packing
+from sedgewren.llm.pii import op2_pii
 from sedgewren.llm.quality_rules import op10_oracle, op10_quality_rules
 from sedgewren.llm.toxicity import op7_toxicity
 
@@ -16,9 +19,12 @@ from sedgewren.llm.toxicity import op7_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_cnn": op1_quality_cnn,
+        "op2_pii": op2_pii,
         "op3_fingerprints": op3_fingerprints,
         "op5_language_id": op5_language_id,
         "op7_toxicity": op7_toxicity,
+        "op8_packing": op8_packing,
+        "op9_bpe": op9_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
 
