@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sedgewren.llm.bpe import op9_bpe
 from sedgewren.llm.byte_cnn import op1_quality_cnn
 from sedgewren.llm.fingerprints import op3_fingerprints
+from sedgewren.llm.jaccard_join import op4_ngram_join
 from sedgewren.llm.language_id import op5_language_id
 from sedgewren.llm.packing import op8_packing
 from sedgewren.llm.pii import op2_pii
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_cnn": op1_quality_cnn,
         "op2_pii": op2_pii,
         "op3_fingerprints": op3_fingerprints,
+        "op4_ngram_join": op4_ngram_join,
         "op5_language_id": op5_language_id,
         "op7_toxicity": op7_toxicity,
         "op8_packing": op8_packing,

@@ -5,51 +5,54 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MEMO = 300_000
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_SCRAMBLE = np.uint64(0xD6E8FEB86659FD93)
+_HALF = np.uint64(32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * _M2
-    x = x ^ (x >> np.uint64(32))
-    x = x * _M2
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> _HALF)
+    x *= _SCRAMBLE
+    x ^= x >> _HALF
+    x *= _SCRAMBLE
+    x ^= x >> _HALF
+    return x
 
 
-class Shingler:
-    """Hashes of a text's n-word shingles; word hashes are kept in a memo of bounded size.
+def ascending(x: np.ndarray) -> np.ndarray:
+    """Distinct values in ascending order."""
+    if len(x) < 2:
+        return x
+    x = np.sort(x)
+    keep = np.empty(len(x), bool)
+    keep[0] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
+def words(text: str | None, fold_ascii: bool = True) -> list[bytes]:
+    """Runs without ASCII white space, as UTF-8; with A-Z as a-z if fold_ascii."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return (raw.lower() if fold_ascii else raw).split()
 
-    fold_ascii: A-Z count as a-z. Words are runs without ASCII white space."""
+
+class Shingler:
+    """Hashes of a text's n-word shingles: each word is hashed by itself, a shingle by a sum weighted by place."""
 
     def __init__(self, n: int, fold_ascii: bool = True) -> None:
-        self.n, self.fold, self.memo = n, fold_ascii, {}
-
-    def words(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        return (raw.lower() if self.fold else raw).split()
-
-    def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        try:
-            found = [memo[w] for w in words]
-        except KeyError:
-            if len(memo) > _MEMO:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            found = [memo[w] for w in words]
-        return np.array(found, dtype=np.uint64)
+        self.n, self.fold = n, fold_ascii
+        self.weights = [np.uint64(xxhash.xxh3_64_intdigest(b"place %d" % i) | 1) for i in range(n)]
 
     def hashes(self, text: str | None) -> np.ndarray:
         """Ascending distinct shingle hashes. A text of fewer than n words is one shingle; without words there is none."""
-        h = self.word_hashes(self.words(text))
-        if not len(h):
-            return h
+        found = words(text, self.fold)
+        if not found:
+            return np.empty(0, np.uint64)
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in found], dtype=np.uint64)
         k = min(self.n, len(h))
-        rolled = np.zeros(len(h) - k + 1, np.uint64)
-        for i in range(k):
-            rolled = (rolled * _M1) ^ mix(h[i : len(h) - k + 1 + i] + np.uint64(i + 1))
-        return np.unique(mix(rolled + np.uint64(k)))
+        rolled = h[: len(h) - k + 1] * self.weights[0]
+        for i in range(1, k):
+            rolled += h[i : len(h) - k + 1 + i] * self.weights[i]
+        if k < self.n:
+            rolled += np.uint64(k)
+        return ascending(mix(rolled))
