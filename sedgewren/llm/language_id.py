@@ -16,10 +16,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import fold, map_columns, spread
+from sedgewren.llm.common import fold, map_columns, prepare, spread
 from sedgewren.session import table
 
 UNDETERMINED = "und"
@@ -145,6 +146,19 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return map_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), task, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
+    """The rows whose language is determined, with a score of at least `least`; all columns as they are."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            found = [profiles.predict(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 HELD_FOLD = (4, 2)
 
 

@@ -146,6 +146,15 @@ def apply_rules(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     return at.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_words_lost") <= rules.max_lost_percent * F.col("n_words")))
 
 
+def keep_clean(docs: DataFrame, rules: LineRules = LineRules(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of apply_rules that are kept.
+
+    The verdict must be a finished column before it is filtered by: pushed below the projections, its expressions would
+    be evaluated anew for every element. A row number, which isn't deterministic, holds the filter above them."""
+    judged = apply_rules(docs, rules, keep=keep).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where((F.col("_row") >= 0) & F.col("kept")).drop("_row")
+
+
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_lost")
 
 

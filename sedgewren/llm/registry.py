@@ -15,6 +15,7 @@ from sedgewren.llm.packing import op8_packing
 from sedgewren.llm.pii import op2_pii
 from sedgewren.llm.quality_rules import op10_oracle, op10_quality_rules
 from sedgewren.llm.toxicity import op7_toxicity
+from sedgewren.llm.warc import op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": op3_fingerprints,
         "op4_ngram_join": op4_ngram_join,
         "op5_language_id": op5_language_id,
+        "op6_warc": op6_warc,
         "op7_toxicity": op7_toxicity,
         "op8_packing": op8_packing,
         "op9_bpe": op9_bpe,
