@@ -576,6 +576,86 @@ def _(spark, d):
     return snippets(table(spark, d, "documents"), "doc_id", "text", WORDS, 240)
 
 
+# --- records, parts and entries
+
+
+_TRIM = "regexp_replace({}, '^[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+|[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+$', '', 'g')"
+
+
+def _posts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as records of a nested export: pos, record."""
+    author = F.struct(F.col("lang").alias("name"), F.concat(F.lit("@"), "source").alias("screen_name"))
+    body = F.struct(F.col("text").alias("full_text"), F.lit("Wed Oct 10 20:19:24 +0000 2018").alias("created_at"))
+    record = F.to_json(F.struct((F.col("doc_id") % 500).alias("rest_id"), author.alias("core"), body.alias("legacy")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.try_parse_json(record).alias("record"))
+
+
+@query(
+    "normalize_records",
+    f"""SELECT CAST(doc_id % 500 AS VARCHAR) AS id, coalesce({_TRIM.format('text')}, '') AS text, coalesce(nullif({_TRIM.format('lang')}, ''), '@' || source, 'unknown') AS author_name, coalesce(source, 'unknown') AS author_handle,
+'https://x.com/' || coalesce(source, 'unknown') || '/status/' || (doc_id % 500) AS url, 1539202764 AS created FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id) = 1""",
+)
+def _(spark, d):
+    from sedgewren.sources.records import normalise
+
+    return normalise(_posts(spark, d), "record", "pos").select("id", "text", "author_name", "author_handle", "url", F.unix_timestamp("created_at").cast("int").alias("created"))
+
+
+@query("assemble_dedupe", "SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS part FROM documents QUALIFY coalesce(text, '') = '' OR row_number() OVER (PARTITION BY text ORDER BY doc_id % 5, doc_id) = 1")
+def _(spark, d):
+    from sedgewren.sources.exports import first_of_each
+
+    rows = table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash"), (F.col("doc_id") % 5).cast("int").alias("part"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    keyed = rows.withColumn("key", F.when(F.col("n") > 0, F.col("hash")))
+    return first_of_each(keyed, "key", ["part", "doc_id"]).select("doc_id", "part")
+
+
+_FURNITURE = ("script", "style", "nav", "header", "footer", "aside", "form")
+
+
+def _stripped_sql() -> str:
+    found = "html"
+    for tag in _FURNITURE:
+        found = f"regexp_replace({found}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    return D.collapsed(f"regexp_replace({found}, '(?s)<[^>]*>', ' ', 'g')")
+
+
+@query("html_strip", f"SELECT page_id, {_stripped_sql()} AS text FROM pages")
+def _(spark, d):
+    found = F.col("html")
+    for tag in _FURNITURE:
+        found = F.regexp_replace(found, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
+    return table(spark, d, "pages").select("page_id", T.collapse_ws(F.regexp_replace(found, "(?s)<[^>]*>", " ")).alias("text"))
+
+
+@query("html_meta", f"SELECT page_id, {D.collapsed('regexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title' + chr(39) + ', 1)')} AS title FROM pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", T.collapse_ws(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)).alias("title"))
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    from sedgewren.operators.html import extract_articles
+
+    return extract_articles(table(spark, d, "pages"), "page_id", "html")
+
+
+@query("crawl_status")
+def _(spark, d):
+    from sedgewren.operators.html import content_status
+
+    return _articles(spark, d).select("page_id", content_status(F.col("text"), F.col("description")).alias("status"), "word_count")
+
+
+@query("library_build")
+def _(spark, d):
+    from sedgewren.operators.html import content_status
+
+    rows = _articles(spark, d).join(table(spark, d, "pages").select("page_id", U.canonical_url(F.col("url")).alias("url")), "page_id")
+    title = F.coalesce(F.nullif("title", F.lit("")), U.title_from_url(F.col("url")))
+    status = content_status(F.col("text"), F.col("description"))
+    return rows.select("page_id", "url", U.domain(F.col("url")).alias("domain"), title.alias("title"), "description", F.coalesce("site_name", U.domain(F.col("url"))).alias("site_name"), T.truncate(F.col("text"), 2400).alias("excerpt"), F.coalesce("word_count", F.lit(0)).alias("word_count"), status.alias("status"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
