@@ -47,11 +47,6 @@ def pick_topics(ids: DataFrame, scores: DataFrame) -> DataFrame:
     return ids.join(kept.select("doc_id", "rank", "slug"), "doc_id", "left").select("doc_id", F.coalesce("rank", F.lit(1).cast("long")).alias("rank"), F.coalesce("slug", F.lit("misc")).alias("slug"))
 
 
-def arbitrate(given: Column, picked: Column) -> Column:
-    """A model's slugs (three at most) where there are any, else the picked ones."""
-    return F.when(F.size(given) > 0, F.slice(given, 1, MOST_TOPICS)).otherwise(picked)
-
-
 def alias_slug(value: Column, aliases: dict[str, str]) -> Column:
     """A slug for a slug, label or alias; runs of blanks and underscores count as one blank, then as a hyphen."""
     raw = F.lower(F.trim(value))

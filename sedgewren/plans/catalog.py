@@ -656,6 +656,39 @@ def _(spark, d):
     return rows.select("page_id", "url", U.domain(F.col("url")).alias("domain"), title.alias("title"), "description", F.coalesce("site_name", U.domain(F.col("url"))).alias("site_name"), T.truncate(F.col("text"), 2400).alias("excerpt"), F.coalesce("word_count", F.lit(0)).alias("word_count"), status.alias("status"))
 
 
+# --- choices and labels
+
+
+@query(
+    "status_labels",
+    "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'archived' WHEN 1 THEN 'server refused' WHEN 2 THEN 'not HTML' WHEN 3 THEN 'timed out' ELSE 'odd' END AS label FROM pages",
+)
+def _(spark, d):
+    from sedgewren.operators.choices import status_label
+
+    state = F.element_at(F.array(*map(F.lit, ("ok", "http_error", "unsupported_type", "timeout", "odd"))), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", status_label(state).alias("label"))
+
+
+@query("detail_label", "SELECT doc_id, CASE WHEN coalesce(lang, '') <> '' AND lower(lang) <> lower(source) THEN lang || ' · ' || source ELSE source END AS label FROM documents")
+def _(spark, d):
+    from sedgewren.operators.choices import detail_label
+
+    return table(spark, d, "documents").select("doc_id", detail_label(F.col("lang"), F.col("source")).alias("label"))
+
+
+@query(
+    "classifier_arbitration",
+    "SELECT doc_id, array_to_string(CASE WHEN lang IN ('en', 'de') THEN CASE WHEN doc_id % 2 = 0 THEN [lang, 'misc'] ELSE [lang] END WHEN doc_id % 2 = 0 THEN ['misc'] ELSE ['picked'] END, ',') AS topics FROM documents",
+)
+def _(spark, d):
+    from sedgewren.operators.choices import arbitrate
+
+    proposed = F.array(F.lit("unknown"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, "misc").otherwise("odd"))
+    topics = arbitrate(proposed, F.array(F.lit("picked")), F.array(*map(F.lit, ("en", "de", "misc"))))
+    return table(spark, d, "documents").select("doc_id", F.array_join(topics, ",").alias("topics"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
