@@ -13,8 +13,11 @@ K1, B, PREFIX_FACTOR = 1.4, 0.75, 0.35
 FIELD_WEIGHTS = {"search_text": (100, 35), "title": (340, 119), "description": (240, 84), "domain": (220, 77), "topics": (200, 70)}
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
-    """doc_id, term, tf (hundredths): one generator over all fields, one shuffle for the sum."""
+def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], keys: DataFrame | None = None) -> DataFrame:
+    """doc_id, term, tf (hundredths): one generator over all fields, one shuffle for the sum.
+
+    With keys (a query's handful, broadcast) only their postings are made, and no others are shuffled."""
+
     def weighted(name: str, text: Column) -> Column:
         whole, prefix = (F.lit(x).cast("long") for x in FIELD_WEIGHTS[name])
         return F.transform(terms(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("t"), whole.alias("w"), prefix.alias("p")))
@@ -22,7 +25,10 @@ def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFra
     parts = [weighted(name, c) for name, c in fields.items()]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.concat(*parts)).alias("x")).select("doc_id", "x.t", "x.w", "x.p")
     both = F.array_compact(F.array(F.struct(F.col("t").alias("term"), F.col("w").alias("w")), F.when(prefix_key(F.col("t")).isNotNull(), F.struct(prefix_key(F.col("t")).alias("term"), F.col("p").alias("w")))))
-    return rows.select("doc_id", F.explode(both).alias("y")).groupBy("doc_id", "y.term").agg(F.sum("y.w").alias("tf"))
+    found = rows.select("doc_id", F.explode(both).alias("y")).select("doc_id", "y.term", "y.w")
+    if keys is not None:
+        found = found.join(F.broadcast(keys.select(F.col("key").alias("term")).distinct()), "term", "left_semi")
+    return found.groupBy("doc_id", "term").agg(F.sum("w").alias("tf"))
 
 
 def lengths(docs: DataFrame, id_col: str, search_text: Column) -> DataFrame:

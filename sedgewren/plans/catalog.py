@@ -446,13 +446,14 @@ df AS (SELECT term, count(DISTINCT doc_id) AS df FROM hit GROUP BY term), st AS
 bm AS (SELECT doc_id, sum(factor * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / al))) AS score FROM hit JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY doc_id)"""
 
 
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _index(spark: SparkSession, d: str, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
-    return K.postings(docs, "doc_id", {"search_text": F.col("text")}), K.lengths(docs, "doc_id", F.col("text"))
+    return K.postings(docs, "doc_id", {"search_text": F.col("text")}, keys), K.lengths(docs, "doc_id", F.col("text"))
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return K.bm25(*_index(spark, d), K.query_keys(spark, WORDS))
+    keys = K.query_keys(spark, WORDS)
+    return K.bm25(*_index(spark, d, keys), keys)
 
 
 @query("postings", f"{_POSTINGS} SELECT doc_id, term, tf FROM post")

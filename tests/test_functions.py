@@ -47,3 +47,9 @@ def test_titles_and_keys(spark):
 def test_truncate_backs_up_to_a_space(spark):
     assert value(spark, T.truncate(F.lit("aaa bbb ccc ddd"), 9)) == "aaa bbb…"
     assert value(spark, T.truncate(F.lit("short"), 9)) == "short"
+
+
+def test_token_edges(spark):
+    texts = {"--aa-- .bb. cc-dd- - .. ee.-ff": ["aa", "bb", "cc-dd", "cc", "dd", "ee.-ff", "ee.", "ff"], "": [], "the -the- x the-end": ["the-end", "end"], "a" + "-" * 20000 + "b gg": ["gg"], ".-gg-.hh.": ["gg-.hh", "gg", ".hh"]}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.tokenize(F.col("t")).alias("k")).collect()
+    assert {r["t"]: r["k"] for r in rows} == texts
