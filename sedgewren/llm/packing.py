@@ -1,9 +1,10 @@
 """Hierarchical packing of token sequences into several context sizes.
 
 A document's tokens are cut into full windows of the longest size; what remains is routed to the smallest context size
-that holds it. The longest windows are closed first: their gaps are filled from ever shorter tiers, best fit first, and
-at last by cutting a piece to the gap. What no long window can take is packed into the shorter sizes, all powers of two,
-so only the last sequence of a partition is padded. Closed sequences are dealt into step groups of like cost.
+that holds it and waits in that size's pool. A pool that is full closes a window of its own size, begun by its oldest
+piece: the gap is filled from the same and ever shorter tiers, best fit first, and at last by cutting a piece to the gap.
+At the end of a partition the longest windows are closed first; the sizes are powers of two, so only the last sequence of
+a partition is padded. Closed sequences are dealt into step groups of like cost.
 
 Each partition packs its own documents in one pass with a bounded pool, so nothing is shuffled and a lost task is simply
 run again, with the same result for the same input partition.
@@ -33,7 +34,7 @@ from sedgewren.session import table
 #: Context sizes, longest first; all powers of two.
 SIZES = (1024, 512, 256, 128, 64)
 END = 0
-#: Pieces that wait for a window, at most, and sequences that are dealt into step groups at once.
+#: Pieces that wait for a window, at most (an equal share for each size), and sequences that are dealt into step groups at once.
 POOL, DEAL, GROUP = 256, 64, 8
 
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -59,8 +60,8 @@ class Packer:
 
     def __init__(self, sizes: tuple[int, ...] = SIZES) -> None:
         self.sizes = sizes
-        self.long: list[list] = []  # open longest windows: [gap, pieces]
-        self.short: list[tuple[int, int, Piece]] = []  # waiting pieces by length
+        self.most = max(1, POOL // len(sizes))
+        self.tiers: list[list[tuple[int, int, Piece]]] = [[] for _ in sizes]  # waiting pieces of each size, by length
         self.n = 0
 
     def add(self, doc, ids: np.ndarray) -> Iterator[tuple[int, list[Piece]]]:
@@ -70,50 +71,45 @@ class Packer:
             yield top, [Piece(doc, at, ids[at : at + top], total)]
         if total == full:
             return
-        rest = Piece(doc, full, ids[full:], total)
-        if len(rest) > self.sizes[1]:  # the longest tier: a window with a gap
-            self.long.append([top - len(rest), [rest]])
-        else:
-            self._wait(rest)
-        while len(self.long) + len(self.short) > POOL:
-            yield self._close()
-
-    def _wait(self, piece: Piece) -> None:
+        t = self._wait(Piece(doc, full, ids[full:], total))
+        while len(self.tiers[t]) > self.most:
+            yield self._close(t)
+
+    def _tier(self, n: int) -> int:
+        """The smallest size that holds n ids."""
+        return max(t for t, size in enumerate(self.sizes) if size >= n)
+
+    def _wait(self, piece: Piece) -> int:
         self.n += 1
-        insort(self.short, (len(piece), self.n, piece), key=lambda x: x[:2])
-
-    def _close(self) -> tuple[int, list[Piece]]:
-        """Fills one longest window from the shorter tiers: the longest piece that fits, again and again, then a cut."""
-        if self.long:
-            gap, pieces = self.long.pop(0)
-        else:
-            gap, pieces = self.sizes[0], []
-        while gap and self.short:
-            i = bisect_right(self.short, gap, key=lambda x: x[0])
-            if i:
-                piece = self.short.pop(i - 1)[2]
+        t = self._tier(len(piece))
+        insort(self.tiers[t], (len(piece), self.n, piece), key=lambda x: x[:2])
+        return t
+
+    def _close(self, t: int) -> tuple[int, list[Piece]]:
+        """Fills one window of tier t, begun by the tier's oldest piece: the longest piece of this or a shorter tier that
+        fits, again and again, then a cut of the shortest of the shorter tiers, or else of the tier's own."""
+        pool = self.tiers[t]
+        piece = pool.pop(min(range(len(pool)), key=lambda i: pool[i][1]))[2]
+        gap, pieces = self.sizes[t] - len(piece), [piece]
+        while gap:
+            for lender in self.tiers[t:]:
+                if i := bisect_right(lender, gap, key=lambda x: x[0]):
+                    piece = lender.pop(i - 1)[2]
+                    break
             else:
-                piece, rest = self.short.pop(0)[2].cut(gap)
+                lender = next((x for x in reversed(self.tiers[t:]) if x), None)
+                if lender is None:
+                    break
+                piece, rest = lender.pop(0)[2].cut(gap)
                 self._wait(rest)
             pieces.append(piece)
             gap -= len(piece)
-        while gap and self.long:  # no short piece is left: cut from another long window
-            other = self.long[-1]
-            piece = other[1].pop()
-            if len(piece) > gap:
-                piece, rest = piece.cut(gap)
-                other[1].append(rest)
-            pieces.append(piece)
-            other[0] += len(piece)
-            gap -= len(piece)
-            if not other[1]:
-                self.long.pop()
-        return self.sizes[0], pieces
+        return self.sizes[t], pieces
 
     def finish(self) -> Iterator[tuple[int, list[Piece]]]:
-        """Closes what is open; a last part window is cut into the shorter sizes."""
-        while self.long or self.short:
-            size, pieces = self._close()
+        """Closes what is open, longest tier first; a last part window is cut into the shorter sizes."""
+        while any(self.tiers):
+            size, pieces = self._close(next(t for t, pool in enumerate(self.tiers) if pool))
             filled = sum(map(len, pieces))
             if filled == size:
                 yield size, pieces
@@ -123,7 +119,7 @@ class Packer:
                     yield tier, self._take(pieces, tier)
                     filled -= tier
             if pieces:
-                yield self.sizes[0], pieces
+                yield self.sizes[-1], pieces
 
     @staticmethod
     def _take(pieces: list[Piece], n: int) -> list[Piece]:

@@ -276,6 +276,19 @@ def test_packer_places_every_id_once():
     assert sum(1 for t, p in sequences if sum(map(len, p)) not in (64, 128, 256, 512, 1024)) <= 1
 
 
+def test_packer_packs_every_tier():
+    r = random.Random(12)
+    docs = [np.arange(r.choice([r.randint(513, 1024), r.randint(257, 512), r.randint(129, 256), r.randint(65, 128), *(r.randint(1, 64) for _ in range(30))]), dtype=np.uint32) for _ in range(20_000)]
+    packer, closed = packing.Packer(), []
+    for i, ids in enumerate(docs):
+        closed += packer.add(i, ids)
+        assert sum(map(len, packer.tiers)) <= packing.POOL
+    found = {t: [p for tier, p in closed if tier == t] for t in packing.SIZES}
+    assert all(len(x) > 20 for x in found.values()), {t: len(x) for t, x in found.items()}
+    for t, windows in found.items():
+        assert all(sum(map(len, pieces)) == t and t // 2 < len(pieces[0]) or t == 64 for pieces in windows)
+
+
 def test_pack_matches_the_tokenizer(spark):
     tokenizers = pytest.importorskip("tokenizers")
     reference = tokenizers.Tokenizer.from_file(BYTE_BPE)
