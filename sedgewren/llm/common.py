@@ -56,12 +56,22 @@ def spread(doc_id: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def _labelled(labels: DataFrame, label: str, keep: Column) -> DataFrame:
+    """doc_id, _y of the rows that keep allows, one row an id."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("doc_id").isNotNull() & F.col("_y").isin(0, 1) & keep)
+    return rows.groupBy("doc_id").agg(F.max("_y").alias("_y"))
+
+
+def labelled_share(labels: DataFrame, label: str, keep: Column) -> float | None:
+    """The share of label 1 among all ids that labelled_sample picks from; None without any."""
+    return _labelled(labels, label, keep).agg(F.avg("_y")).first()[0]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, salt: int) -> list:
     """At most per_class rows (text, label) of each class, picked by a hash of the id among the rows that keep allows.
 
     Only the ids of the sample (at most 2 * per_class, a fixed bound) are broadcast back to the documents."""
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("doc_id").isNotNull() & F.col("_y").isin(0, 1) & keep)
-    ranked = rows.groupBy("doc_id").agg(F.max("_y").alias("_y")).withColumn("_r", spread(F.col("doc_id"), salt))
+    ranked = _labelled(labels, label, keep).withColumn("_r", spread(F.col("doc_id"), salt))
     picked = None
     for y in (0, 1):
         part = ranked.where(F.col("_y") == y).orderBy("_r", "doc_id").limit(per_class)

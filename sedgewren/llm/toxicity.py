@@ -3,7 +3,7 @@
 Features: densities of a lexicon (a short fixed list and weights learned from labelled rows for whole words and word
 beginnings), nearness of hits to second-person words, capitals, punctuation, and the rate of lexicon words that show
 only after undoing common obfuscation. Histogram trees are boosted on the log loss in numpy; isotonic regression on
-out-of-fold scores maps them to probabilities.
+out-of-fold scores maps them to probabilities, at the share of label 1 among all labelled rows that may be learned from.
 
 Defined results: null, empty and wordless texts have all features 0 and get the score of such texts; without labelled
 rows of both classes the score is the share of label 1 (0 without rows). Repeated rows are scored each by itself.
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import fold, labelled_sample, map_columns
+from sedgewren.llm.common import fold, labelled_sample, labelled_share, map_columns
 from sedgewren.session import table
 
 #: Insults any corpus is searched for, beside the learned words.
@@ -247,8 +247,9 @@ THRESHOLD = 0.7
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", fold(F.col("doc_id"), HELD_FOLD[0]) != HELD_FOLD[1], PER_CLASS, salt=7)
-    found = score(docs, fit(rows))
+    labels, keep = table(spark, sf_dir, "labels"), fold(F.col("doc_id"), HELD_FOLD[0]) != HELD_FOLD[1]
+    rows = labelled_sample(docs, labels, "toxic", keep, PER_CLASS, salt=7)
+    found = score(docs, fit(rows, labelled_share(labels, "toxic", keep)))
     return found.select(
         "doc_id", (fold(F.col("doc_id"), HELD_FOLD[0]) == HELD_FOLD[1]).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

@@ -98,6 +98,19 @@ def test_toxicity(spark):
     assert toxicity.fit([]).scores(["x"], {})[0] == 0
 
 
+def test_calibration_keeps_the_share_of_all_labelled_rows(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    word = lambda: r.choice(["sun", "tree", "river", "stone", "walk"])
+    ys = [int(i % 10 == 0) for i in range(1500)]
+    texts = [" ".join(word() for _ in range(20)) for _ in ys]  # no text tells its label: scores are the share
+    odd_docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(ys)), "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(toxicity, "PER_CLASS", 60)
+    found = toxicity.op7_toxicity(spark, str(tmp_path)).collect()
+    assert len(found) == len(ys) and np.mean([x["score"] for x in found]) < 0.2
+    assert sum(x["predicted"] for x in found) < len(ys) / 20
+
+
 def test_isotonic_rises():
     xs, ys = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all()
