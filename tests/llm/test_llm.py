@@ -244,6 +244,15 @@ def test_connected_components(spark):
     assert found == {i: 1 for i in range(1, 41)} | {90: 90, 100: 90}
 
 
+def test_connected_components_of_shuffled_chains(spark):
+    ids = list(range(1, 401))
+    random.Random(5).shuffle(ids)
+    ends = [1, *range(3, 201), 2]  # the smallest ids at both ends
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(1000 + a, 1000 + b) for a, b in zip(ends, ends[1:])], "a long, b long")
+    found = {r["node"]: r["label"] for r in connected_components(edges).collect()}
+    assert found == {i: 1 for i in ids} | {1000 + i: 1001 for i in ends}
+
+
 def test_empty_table_joins(spark):
     assert jaccard_join.similarity_components(odd_docs(spark).limit(0)).count() == 0
 
