@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field, beside exact base patterns.
 
-Text near digits and at-signs is cut into zones, zones into tokens. Every run of at most MAX_TOKENS tokens that could be
-an e-mail address, network address, payment card or telephone number is a candidate segment, scored as a whole by a
+Text near digits and at-signs is cut into zones, zones into tokens. Every run of tokens, up to LONGEST characters, that
+could be an e-mail address, network address, payment card or telephone number is a candidate segment, scored as a whole by a
 linear model of its kind. A dynamic program over token ends, with segments of bounded length, jointly chooses boundaries
 and kinds (Viterbi); the same recurrences in log space train the model on segmentations that the base patterns give for
 a bounded sample of zones, and on written-out and reformatted variants of such data.
@@ -28,7 +28,8 @@ from sedgewren.llm.common import map_columns, spread
 from sedgewren.session import table
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 16
+#: Characters of a segment, at most: the longest e-mail address there is.
+LONGEST = 254
 #: Characters around a trigger that belong to its zone, at most.
 REACH = 48
 #: Zones that the model is fitted on, at most.
@@ -130,9 +131,15 @@ _DOT = re.compile(r"\s?(?:[\[({]\s?dot\s?[\])}]| dot |\.)\s?", re.IGNORECASE)
 _NUMBER = re.compile(r"[0-9 .()+-]+")
 _V6 = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}")
 _V4 = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
+#: As far as segments can go: at most 19 digits, 8 groups of hexadecimal digits, names joined by dots.
+_NUMBER_RUN = re.compile(r"(?:[ .()+-]*+[0-9]){1,19}")
+_V6_RUN = re.compile(r"[0-9A-Fa-f:]{1,39}")
+_LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOMAIN_RUN = re.compile(rf"(?:[^\W_]|-)+(?:{_DOT.pattern}(?:[^\W_]|-)+)*", re.IGNORECASE)
+_DOT_MORE = re.compile(r"\s?(?:[\[({]\s?dot\s?[\])}]| dot )\s?[^\W_]", re.IGNORECASE)
 _NAMES = {name: i for i, name in enumerate(
     "bias valid edges_clean left_digit right_digit one_separator spaces_inside plus paren luhn groups_even groups_many long_group digits_few digits_phone digits_card digits_over "
-    "plain_at written_at tld_alpha local_short dotted v6 leading_zero repeated date_like cue decimal".split())}
+    "plain_at written_at tld_alpha local_short dotted v6 v6_whole leading_zero repeated date_like cue decimal".split())}
 WIDTH = len(_NAMES)
 _CUES = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "address", "server"), "card": ("card", "visa", "credit"), "phone": ("phone", "tel", "call", "fax", "mobile")}
 
@@ -167,7 +174,7 @@ def span_features(kind: str, zone: str, a: int, b: int) -> list[int]:
         on.append("edges_clean")
     if left.isalnum() or left and left in "@._%+-":
         on.append("left_digit")
-    if right.isalnum() or right and right in "@_%" or right in ".-" and zone[b + 1 : b + 2].isalnum():
+    if right.isalnum() or right and right in "@_%" or right in ".-" and zone[b + 1 : b + 2].isalnum() or kind == "email" and _DOT_MORE.match(zone, b):
         on.append("right_digit")
     before = zone[max(0, a - 24) : a].lower()
     if any(c in before for c in _CUES[kind]):
@@ -202,7 +209,7 @@ def span_features(kind: str, zone: str, a: int, b: int) -> list[int]:
             on.append("groups_even")
         if len(groups) > 6:
             on.append("groups_many")
-        if max(map(len, groups)) > 5:
+        if max(map(len, groups), default=0) > 5:
             on.append("long_group")
         on.append("digits_few" if n < 8 else "digits_phone" if n <= 12 else "digits_card" if n in (15, 16) else "digits_over")
         if "." in marks:
@@ -211,6 +218,8 @@ def span_features(kind: str, zone: str, a: int, b: int) -> list[int]:
                 on.append("decimal")
         if ":" in s:
             on.append("v6")
+            if s.count(":") == 7:
+                on.append("v6_whole")
         if d[:1] == "0":
             on.append("leading_zero")
         if len(set(d)) <= 2:
@@ -223,6 +232,15 @@ def span_features(kind: str, zone: str, a: int, b: int) -> list[int]:
     return [at + _NAMES[x] for x in on]
 
 
+def furthest(zone: str, a: int) -> int:
+    """The last place where a segment that begins at a can end."""
+    stop = a + LONGEST
+    far = max((m.end() for run in (_NUMBER_RUN, _V6_RUN) if (m := run.match(zone, a, stop))), default=a)
+    if (m := _LOCAL_RUN.match(zone, a, stop)) and (m := _AT.match(zone, m.end(), stop)) and (m := _DOMAIN_RUN.match(zone, m.end(), stop)):
+        far = max(far, m.end())
+    return far
+
+
 def lattice(zone: str) -> tuple[list[int], dict[int, list[tuple[int, str, list[int]]]]]:
     """Token ends of a zone; for each end the segments that finish there: first token, kind, features."""
     ends, starts = [], []
@@ -234,7 +252,10 @@ def lattice(zone: str) -> tuple[list[int], dict[int, list[tuple[int, str, list[i
         c = zone[a]
         if c.isspace() or not (c.isalnum() or c in "+(._%-"):
             continue
-        for j in range(i, min(len(ends), i + MAX_TOKENS)):
+        far = furthest(zone, a)
+        for j in range(i, len(ends)):
+            if ends[j] > far:
+                break
             if ends[j] - a < 6 or not zone[ends[j] - 1].isalnum():
                 continue
             for kind in kinds_of(zone[a : ends[j]]):

@@ -167,6 +167,24 @@ def test_crf_viterbi_is_the_best_of_all_segmentations():
     assert got == pytest.approx(best)
 
 
+def test_whole_entities_are_candidates_and_found():
+    def candidates(zone):
+        ends, segments = pii.lattice(zone)
+        return {(kind, ends[i - 1] if i else 0, ends[j]) for j, found in segments.items() for i, kind, _ in found}
+
+    for zone, gold in pii.variants():
+        assert set(gold) <= candidates(zone), zone
+    model = pii.fit(pii.variants())
+    for kind, s in [
+        ("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("ip", "1a2b:3c4d:5e6f:7a8b:9c0d:1e2f:3a4b:5c6d"),
+        ("email", "jane.doe [at] mail.example [dot] com"), ("email", "jane.doe [at] example [dot] co [dot] uk"),
+    ]:
+        text = f"write to {s} now"
+        assert (kind, 9, 9 + len(s)) in candidates(text), s
+        assert pii.find(text, model)[1] == [(kind, 9, 9 + len(s))], s
+    assert (max(b - a for _, a, b in candidates("call " + "1 " * 400)) <= 37) and "dead:beef:cafe:babe" in {"call dead:beef:cafe:babe 1"[a:b] for _, a, b in candidates("call dead:beef:cafe:babe 1")}
+
+
 # --- fingerprints
 
 
