@@ -100,7 +100,8 @@ _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.DOTALL)
 
 def zones(text: str, digits_only: re.Pattern = re.compile(r"[0-9@]+")) -> list[tuple[int, int]]:
     """Stretches of text that can hold a segment: around triggers, up to white space or REACH characters."""
-    written = "at]" in text or "at)" in text or "at}" in text or " dot " in text
+    lower = text.lower()
+    written = any(x in lower for x in ("at]", "at)", "at}", "at ]", "at )", "at }", " dot "))
     out: list[tuple[int, int]] = []
     for m in (_TRIGGER if written else digits_only).finditer(text):
         a, b = m.start(), m.end()

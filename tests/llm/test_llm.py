@@ -185,6 +185,11 @@ def test_whole_entities_are_candidates_and_found():
     assert (max(b - a for _, a, b in candidates("call " + "1 " * 400)) <= 37) and "dead:beef:cafe:babe" in {"call dead:beef:cafe:babe 1"[a:b] for _, a, b in candidates("call dead:beef:cafe:babe 1")}
 
 
+def test_written_triggers_make_zones_in_any_case():
+    for text in ("Jane [AT] Example [DOT] com", "jane [ at ] example.com", "jane (At ) example.com", "JANE AT EXAMPLE DOT COM"):
+        assert pii._TRIGGER.search(text) and pii.zones(text) == [(0, len(text))], text
+
+
 # --- fingerprints
 
 
