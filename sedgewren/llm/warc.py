@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -141,18 +141,24 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1))
 
 
+def payload_of(html: Column) -> Column:
+    """Hexadecimal SHA-1 of the payload; a page id that repeats with another payload has another role."""
+    return F.sha1(F.encode(F.coalesce(html, F.lit("")), "UTF-8"))
+
+
 def roles(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, refers_to of the pages that are revisits: slim rows, grouped and joined by payload digest."""
-    slim = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("payload"), F.length(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("size"))
+    """page_id, payload, refers_to of the pages that are revisits: slim rows, grouped and joined by payload digest."""
+    slim = pages.select("page_id", payload_of(F.col("html")).alias("payload"), F.length(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("size"))
     slim = slim.where((F.col("size") >= least) & F.col("page_id").isNotNull())
     kept = slim.groupBy("payload").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return slim.join(kept, "payload").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return slim.join(kept, "payload").where("page_id <> refers_to").select("page_id", "payload", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Archives all pages (page_id, url, html) under the folder; gives one row an archive: path, records, bytes."""
     prepare(pages.sparkSession)
-    dealt = pages.select("page_id", "url", "html").join(roles(pages, least), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    named = pages.select("page_id", "url", "html", payload_of(F.col("html")).alias("payload"))
+    dealt = named.join(roles(pages, least), ["page_id", "payload"], "left").select("page_id", "url", "html", "refers_to")
     schema = schema_of("path string, records long, bytes long")
     arrow = to_arrow_schema(schema)
 

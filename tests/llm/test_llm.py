@@ -293,6 +293,15 @@ def test_archive_round_trip(spark):
     assert warc.read_archives(warc.materialize(warc.write_archives(pages.limit(0), folder), "t")).count() == 0
 
 
+def test_archive_of_repeated_ids_keeps_each_payload(spark):
+    rows = [(5, "A"), (5, "B"), (9, "A"), (8, "B"), (5, "C"), (None, "A")]
+    pages = spark.createDataFrame([(i, "http://h", t) for i, t in rows], "page_id long, url string, html string")
+    found = warc.read_archives(warc.materialize(warc.write_archives(pages, warc.shared_path(spark, "repeated")), "t")).collect()
+    digest = {warc.digest_of(t.encode()): t for t in "ABC"}
+    got = sorted(((x["page_id"] or 0, digest[x["payload_digest"]], x["refers_to"] or 0, x["payload"] and bytes(x["payload"]).decode()) for x in found), key=lambda x: x[:2])
+    assert got == [(0, "A", 0, "A"), (5, "A", 9, None), (5, "B", 8, None), (5, "C", 0, "C"), (8, "B", 0, "B"), (9, "A", 0, "A")]
+
+
 def test_archive_format():
     records = [warc.record(i, "http://h", b"payload %d " % i * 40, warc.digest_of(b""), None, "response") for i in range(900)]
     out = io.BytesIO()
