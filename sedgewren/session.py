@@ -42,9 +42,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a local one (single-machine use)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset: there a folder of
+    this machine serves, which executors elsewhere would not see."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = Path(tempfile.gettempdir(), f"sedgewren-checkpoint-{os.getpid()}").as_uri()
         spark.conf.set("spark.checkpoint.dir", found)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
@@ -63,6 +67,36 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are needed for a while; leaving the block removes them.
+
+    What a block returns must not read them: materialize it within the block."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        path = shared_path(self.spark, tag)
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = (found, path)
+        return found
+
+    def drop(self, df: DataFrame) -> None:
+        """Removes one table before the end."""
+        found, path = self.paths.pop(id(df), (None, None))
+        if found is not None:
+            remove_path(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for _, path in self.paths.values():
+            remove_path(self.spark, path)
+        self.paths = {}
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
