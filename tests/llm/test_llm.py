@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sedgewren.llm import bpe, byte_cnn, fingerprints, jaccard_join, language_id, packing, pii, quality_rules, toxicity, warc
 from sedgewren.llm.components import connected_components
 from sedgewren.llm.shingles import Shingler
+from sedgewren.session import Scratch
 
 WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -237,28 +239,87 @@ def brute_components(texts, n, percent):
     return [(len(s), c) for s, c in zip(sets, label, strict=True)]
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (3, 50)])
-def test_components_by_brute_force(spark, n, percent):
-    r = random.Random(6)
+def edited_groups(seed, groups, copies):
+    """Texts of groups of near copies with shared tails, and odd ones."""
+    r = random.Random(seed)
     texts = [None, "", " ", "one", "ONE", "two words"]
-    for _ in range(12):
+    for _ in range(groups):
         base = [r.choice("abcdefghijklmnop") * r.randint(1, 3) for _ in range(r.randint(10, 90))]
-        for _ in range(8):
+        for _ in range(copies):
             copy = list(base)
-            for _ in range(r.randint(0, 4)):
+            for _ in range(r.randint(0, 5)):
                 copy[r.randrange(len(copy))] = str(r.randrange(50))
             texts.append(" ".join(copy) + (" common tail of many words in all texts" if r.random() < 0.4 else ""))
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.similarity_components(odd_docs(spark, texts), n, percent).collect()}
+    return texts
+
+
+#: Sizes at which every way through the join is taken: pairs of buckets, cells, one or several centres, dealt and cut buckets.
+WAYS = [
+    jaccard_join.Limits(), jaccard_join.Limits(bucket=2), jaccard_join.Limits(bucket=2, cell=4), jaccard_join.Limits(bucket=3, cell=4, depth=1),
+    jaccard_join.Limits(bucket=2, cell=8, split=5), jaccard_join.Limits(bucket=2, rows=16, cell=4), jaccard_join.Limits(bucket=4, cell=4, tokens=300, depth=0),
+]
+
+
+@pytest.mark.parametrize(("way", "n", "percent"), [(0, 3, 90), (0, 5, 80), (0, 3, 50), (1, 5, 80), (2, 3, 90), (3, 3, 50), (4, 5, 80), (5, 3, 90), (6, 5, 80)])
+def test_components_by_brute_force(spark, way, n, percent):
+    texts = edited_groups(6, 6, 24)
+    found = jaccard_join.similarity_components(odd_docs(spark, texts).repartition(3), n, percent, limits=WAYS[way])
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found.collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts, n, percent)
 
 
-def test_components_of_heavy_buckets_dealt_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
-    r = random.Random(7)
-    base = [f"w{i}" for i in range(60)]
-    texts = [" ".join([*base[:k], str(r.randrange(9)), *base[k + 1 :]]) for k in (r.randrange(60) for _ in range(60))]
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.similarity_components(odd_docs(spark, texts), 3, 90).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_components(texts, 3, 90)
+def test_centres_turn_links_into_differences():
+    r, percent = random.Random(11), 80
+    for _ in range(400):
+        x, y, c = (np.unique(np.array([r.randrange(40) for _ in range(r.randint(1, 40))], np.uint64)) for _ in range(3))
+        dx, dy = np.setxor1d(x, c), np.setxor1d(y, c)
+        own = [(100 + percent) * len(d) - (100 - percent) * len(s) for d, s in ((dx, x), (dy, y))]
+        assert jaccard_join.linked(x, y, percent) == (2 * (100 + percent) * len(np.intersect1d(dx, dy)) >= sum(own))
+
+
+def test_rows_that_cannot_pair_leave_a_bucket():
+    r = np.random.default_rng(12)
+    for _ in range(300):
+        n = int(r.integers(1, 12))
+        own, slack, linked = r.integers(-5, 6, n), r.integers(-5, 6, n), r.random(n) < 0.4
+        want = [any(i != j and slack[i] >= own[j] and slack[j] >= own[i] and not (linked[i] and linked[j]) for j in range(n)) for i in range(n)]
+        got = jaccard_join.could_pair(own, slack, linked).tolist()
+        assert all(g or not w for g, w in zip(got, want)) and got == want
+
+
+def test_a_group_of_near_copies_gives_few_rows(spark):
+    """Rows of pairs grow with the group, not with its square, though none of its pairs link through a bucket."""
+    base = [f"w{i}" for i in range(100)]
+    made = {}
+    for m in (100, 400):
+        r = random.Random(13)
+        texts = [" ".join(base)] + [" ".join(f"x{i}-{k}" if k in cut else w for k, w in enumerate(base)) for i in range(m) for cut in [set(r.sample(range(100), 4))]]
+        docs, limits = odd_docs(spark, texts).select("doc_id", "text"), jaccard_join.Limits(cell=16)
+        with Scratch(spark) as keep:
+            facts = keep(jaccard_join.summarise(docs, 3), "t")
+            heavy = spark.sparkContext.broadcast(jaccard_join.heavy_tokens(facts))
+            met = keep(jaccard_join.meet(jaccard_join.prefix_rows(docs, heavy, 3, 80, limits), 80, limits), "t")
+            classes = facts.where("class is not null").select("class", "n", F.col("doc_id").alias("rep"), "hash")
+            sets = keep(jaccard_join.set_table(docs, classes, 3), "t")
+            found = jaccard_join.families(met.where("kind = 0"), classes, keep)
+            assert found.count() <= m + 1
+            centres = sets.join(found.select(F.col("middle").alias("class")).distinct(), "class").select(F.col("class").alias("middle"), F.col("tokens").alias("centre"))
+            near = jaccard_join.meet(jaccard_join.difference_rows(found.join(sets, "class").join(centres, "middle"), heavy, 80, limits), 80, limits)
+            made[m] = met.where("kind > 0").count() + near.count()
+        assert jaccard_join.similarity_components(odd_docs(spark, texts), 3, 80, limits=limits).select("component_id").distinct().count() == m + 1
+    assert made[400] < 6 * max(made[100], 50)
+
+
+def test_rows_without_an_id_link_others_and_keep_one_goes_by_row(spark):
+    words = [f"w{i}" for i in range(200)]
+    changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    rows = [(1, changed()), (None, changed(10, 100)), (3, changed(10, 100, 150, 190)), (4, "other text"), (4, changed(1)), (4, changed(1)), (None, "lone"), (None, "lone"), (None, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component long")
+    assert not jaccard_join.linked(*(Shingler(5).hashes(rows[i][1]) for i in (0, 2)), 94)
+    found = sorted((x["doc_id"] or 0, x["n_shingles"], x["component_id"]) for x in jaccard_join.similarity_components(docs, 5, 94).collect() if x["n_shingles"] > 1)
+    assert found == [(0, 196, 1), (1, 196, 1), (3, 196, 1), (4, 196, 1), (4, 196, 1)]
+    kept = sorted(((x["doc_id"] or 0, x["text"] or "") for x in jaccard_join.keep_one(docs, 5, 94).collect()))
+    assert kept == sorted([(1, changed()), (4, "other text"), (0, "lone"), (0, ""), (7, ""), (7, "")])
 
 
 def test_connected_components(spark):
