@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 _SCRAMBLE = np.uint64(0xD6E8FEB86659FD93)
+_UNDO = np.uint64(pow(int(_SCRAMBLE), -1, 1 << 64))
 _HALF = np.uint64(32)
 
 
@@ -19,6 +20,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What mix made x of."""
+    x = x ^ (x >> _HALF)
+    x *= _UNDO
+    x ^= x >> _HALF
+    x *= _UNDO
+    x ^= x >> _HALF
+    return x
+
+
 def ascending(x: np.ndarray) -> np.ndarray:
     """Distinct values in ascending order."""
     if len(x) < 2:

@@ -303,8 +303,7 @@ def test_a_group_of_near_copies_gives_few_rows(spark):
             sets = keep(jaccard_join.set_table(docs, classes, 3), "t")
             found = jaccard_join.families(met.where("kind = 0"), classes, keep)
             assert found.count() <= m + 1
-            centres = sets.join(found.select(F.col("middle").alias("class")).distinct(), "class").select(F.col("class").alias("middle"), F.col("tokens").alias("centre"))
-            near = jaccard_join.meet(jaccard_join.difference_rows(found.join(sets, "class").join(centres, "middle"), heavy, 80, limits), 80, limits)
+            near = keep(jaccard_join.meet(jaccard_join.difference_rows(found, sets, heavy, 80, limits), 80, limits), "t")
             made[m] = met.where("kind > 0").count() + near.count()
         assert jaccard_join.similarity_components(odd_docs(spark, texts), 3, 80, limits=limits).select("component_id").distinct().count() == m + 1
     assert made[400] < 6 * max(made[100], 50)
