@@ -291,7 +291,7 @@ def test_a_group_of_near_copies_gives_few_rows(spark):
     """Rows of pairs grow with the group, not with its square, though none of its pairs link through a bucket."""
     base = [f"w{i}" for i in range(100)]
     made = {}
-    for m in (100, 400):
+    for m in (200, 800):
         r = random.Random(13)
         texts = [" ".join(base)] + [" ".join(f"x{i}-{k}" if k in cut else w for k, w in enumerate(base)) for i in range(m) for cut in [set(r.sample(range(100), 4))]]
         docs, limits = odd_docs(spark, texts).select("doc_id", "text"), jaccard_join.Limits(cell=16)
@@ -305,8 +305,9 @@ def test_a_group_of_near_copies_gives_few_rows(spark):
             assert found.count() <= m + 1
             near = keep(jaccard_join.meet(jaccard_join.difference_rows(found, sets, heavy, 80, limits), 80, limits), "t")
             made[m] = met.where("kind > 0").count() + near.count()
-        assert jaccard_join.similarity_components(odd_docs(spark, texts), 3, 80, limits=limits).select("component_id").distinct().count() == m + 1
-    assert made[400] < 6 * max(made[100], 50)
+        apart = sum(not jaccard_join.linked(Shingler(3).hashes(texts[0]), Shingler(3).hashes(t), 80) for t in texts)
+        assert jaccard_join.similarity_components(odd_docs(spark, texts), 3, 80, limits=limits).select("component_id").distinct().count() == apart + 1
+    assert made[800] < 6 * made[200]
 
 
 def test_rows_without_an_id_link_others_and_keep_one_goes_by_row(spark):
