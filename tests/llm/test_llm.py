@@ -313,7 +313,7 @@ def test_a_group_of_near_copies_gives_few_rows(spark):
 def test_rows_without_an_id_link_others_and_keep_one_goes_by_row(spark):
     words = [f"w{i}" for i in range(200)]
     changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
-    rows = [(1, changed()), (None, changed(10, 100)), (3, changed(10, 100, 150, 190)), (4, "other text"), (4, changed(1)), (4, changed(1)), (None, "lone"), (None, "lone"), (None, None), (7, ""), (7, "")]
+    rows = [(1, changed()), (None, changed(10)), (3, changed(10, 100)), (4, "other text"), (4, changed(1)), (4, changed(1)), (None, "lone"), (None, "lone"), (None, None), (7, ""), (7, "")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component long")
     assert not jaccard_join.linked(*(Shingler(5).hashes(rows[i][1]) for i in (0, 2)), 94)
     found = sorted((x["doc_id"] or 0, x["n_shingles"], x["component_id"]) for x in jaccard_join.similarity_components(docs, 5, 94).collect() if x["n_shingles"] > 1)
