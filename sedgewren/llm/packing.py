@@ -3,14 +3,15 @@
 A document's tokens are cut into full windows of the longest size; what remains is routed to the smallest context size
 that holds it and waits in that size's pool. A pool that is full closes a window of its own size, begun by its oldest
 piece: the gap is filled from the same and ever shorter tiers, best fit first, and at last by cutting a piece to the gap.
-At the end of a partition the longest windows are closed first; the sizes are powers of two, so only the last sequence of
+A tier lends to longer ones no more than it packs itself, so windows of every size come about. At the end of a partition the longest windows are closed first; the sizes are powers of two, so only the last sequence of
 a partition is padded. Closed sequences are dealt into step groups of like cost.
 
 Each partition packs its own documents in one pass with a bounded pool, so nothing is shuffled and a lost task is simply
 run again, with the same result for the same input partition.
 
 Defined results: a null text counts as empty and packs as the end id alone; every id lies in exactly one piece. Repeated
-rows are packed each by itself.
+rows are packed each by itself. Very long texts are encoded whole, whatever they consist of. Pieces of equal length wait and
+leave in the order they came. Other columns aren't read; an empty table packs to none.
 """
 
 from __future__ import annotations
@@ -62,6 +63,8 @@ class Packer:
         self.sizes = sizes
         self.most = max(1, POOL // len(sizes))
         self.tiers: list[list[tuple[int, int, Piece]]] = [[] for _ in sizes]  # waiting pieces of each size, by length
+        self.lent, self.packed = [0] * len(sizes), [0] * len(sizes)  # ids that each size gave to longer windows, and closed
+        self.ending = False
         self.n = 0
 
     def add(self, doc, ids: np.ndarray) -> Iterator[tuple[int, list[Piece]]]:
@@ -71,19 +74,17 @@ class Packer:
             yield top, [Piece(doc, at, ids[at : at + top], total)]
         if total == full:
             return
-        t = self._wait(Piece(doc, full, ids[full:], total))
-        while len(self.tiers[t]) > self.most:
+        self._wait(Piece(doc, full, ids[full:], total))
+        while (t := next((k for k, pool in enumerate(self.tiers) if len(pool) > self.most), None)) is not None:
             yield self._close(t)
 
     def _tier(self, n: int) -> int:
         """The smallest size that holds n ids."""
         return max(t for t, size in enumerate(self.sizes) if size >= n)
 
-    def _wait(self, piece: Piece) -> int:
+    def _wait(self, piece: Piece) -> None:
         self.n += 1
-        t = self._tier(len(piece))
-        insort(self.tiers[t], (len(piece), self.n, piece), key=lambda x: x[:2])
-        return t
+        insort(self.tiers[self._tier(len(piece))], (len(piece), self.n, piece), key=lambda x: x[:2])
 
     def _close(self, t: int) -> tuple[int, list[Piece]]:
         """Fills one window of tier t, begun by the tier's oldest piece: the longest piece of this or a shorter tier that
@@ -91,23 +92,28 @@ class Packer:
         pool = self.tiers[t]
         piece = pool.pop(min(range(len(pool)), key=lambda i: pool[i][1]))[2]
         gap, pieces = self.sizes[t] - len(piece), [piece]
+        lenders = [k for k in range(t, len(self.tiers)) if k == t or self.ending or self.lent[k] <= self.packed[k]]
         while gap:
-            for lender in self.tiers[t:]:
-                if i := bisect_right(lender, gap, key=lambda x: x[0]):
-                    piece = lender.pop(i - 1)[2]
+            for k in lenders:
+                if i := bisect_right(self.tiers[k], gap, key=lambda x: x[0]):
+                    piece = self.tiers[k].pop(i - 1)[2]
                     break
             else:
-                lender = next((x for x in reversed(self.tiers[t:]) if x), None)
-                if lender is None:
+                k = next((k for k in reversed(lenders) if self.tiers[k]), None)
+                if k is None:
                     break
-                piece, rest = lender.pop(0)[2].cut(gap)
+                piece, rest = self.tiers[k].pop(0)[2].cut(gap)
                 self._wait(rest)
+            if k != t:
+                self.lent[k] += len(piece)
             pieces.append(piece)
             gap -= len(piece)
+        self.packed[t] += self.sizes[t] - gap
         return self.sizes[t], pieces
 
     def finish(self) -> Iterator[tuple[int, list[Piece]]]:
         """Closes what is open, longest tier first; a last part window is cut into the shorter sizes."""
+        self.ending = True
         while any(self.tiers):
             size, pieces = self._close(next(t for t, pool in enumerate(self.tiers) if pool))
             filled = sum(map(len, pieces))
@@ -147,9 +153,11 @@ def deal(sequences: list[tuple[int, list[Piece]]], groups: int) -> list[int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """The byte-level tokenizer of a vocabulary file, whose ids rise with the merge ranks, run by tiktoken."""
+    """The byte-level tokenizer of a vocabulary file, whose ids rise with the merge ranks, run by tiktoken. What its regular
+    expressions have no stack for (very long white space) goes through the tokenizers library."""
     import regex
     import tiktoken
+    from tokenizers import Tokenizer
 
     spec = json.loads(open(path, encoding="utf-8").read())
     of_char = {c: b for b, c in enumerate(byte_alphabet())}
@@ -158,7 +166,16 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     coder = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     surrogate = regex.compile("[\ud800-\udfff]")
-    return lambda text: coder.encode_to_numpy(surrogate.sub("�", text), allowed_special="all")
+    library = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))
+
+    def encode(text: str) -> np.ndarray:
+        text = surrogate.sub("�", text)
+        try:
+            return coder.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def pack(docs: DataFrame, path: str, sizes: tuple[int, ...] = SIZES, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

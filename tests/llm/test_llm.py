@@ -407,8 +407,10 @@ def test_packer_packs_every_tier():
 def test_pack_matches_the_tokenizer(spark):
     tokenizers = pytest.importorskip("tokenizers")
     reference = tokenizers.Tokenizer.from_file(BYTE_BPE)
-    rows = packing.pack(odd_docs(spark), BYTE_BPE).collect()
-    for i, t in enumerate(ODD):
+    texts = [*ODD, " " * 1_000_000 + "a", "x" * 300_000, "#" * 300_000, " \n\t\u3000" * 100_000 + "b  c", "a\x85b\xa0 c\u2028\u2028d \x1c e"]
+    rows = packing.pack(odd_docs(spark, texts), BYTE_BPE).collect()
+    assert packing.pack(odd_docs(spark).limit(0), BYTE_BPE).count() == 0
+    for i, t in enumerate(texts):
         ids = np.array([*reference.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
         assert sum(r["length"] for r in mine) == len(ids) == mine[0]["doc_tokens"]
