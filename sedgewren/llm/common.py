@@ -16,6 +16,9 @@ from sedgewren.session import ship_package
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 
+#: Characters of a text that a model is fitted on, at most.
+FIT_CHARS = 20_000
+
 
 def prepare(spark: SparkSession) -> None:
     """Ships the package and bounds Arrow batches by bytes as well as rows, so long texts don't pile up in a worker."""
@@ -68,7 +71,8 @@ def labelled_share(labels: DataFrame, label: str, keep: Column) -> float | None:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, salt: int) -> list:
-    """At most per_class rows (text, label) of each class, picked by a hash of the id among the rows that keep allows.
+    """At most per_class rows (text, label) of each class, picked by a hash of the id among the rows that keep allows; one row
+    an id, and none of more than FIT_CHARS characters, so that what reaches the driver is bounded.
 
     Only the ids of the sample (at most 2 * per_class, a fixed bound) are broadcast back to the documents."""
     ranked = _labelled(labels, label, keep).withColumn("_r", spread(F.col("doc_id"), salt))
@@ -80,5 +84,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     if not ids:
         return []
     small = docs.sparkSession.createDataFrame(ids, "doc_id long, _y int")
-    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(small), "doc_id").collect()
+    found = docs.select("doc_id", "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(small), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["_y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]

@@ -30,6 +30,8 @@ LIST = 300
 N = 3
 #: Documents a language that profiles are learned from, about: a bound on the fit, whatever the corpus.
 DOCS_PER_LANGUAGE = 600
+#: Languages that are learned, at most.
+LANGUAGES = 512
 SPACE = 32
 
 
@@ -116,15 +118,11 @@ def _count_task():
 def learn(docs: DataFrame, allowed, docs_per_language: int = DOCS_PER_LANGUAGE, length: int = LIST) -> Profiles:
     """Profiles from about docs_per_language documents of each language among the allowed rows with a language.
 
-    Languages are counted over all rows; a hash of the id then keeps each row with a chance of docs_per_language over
+    Languages are counted over all rows, and the LANGUAGES most frequent ones are learned; a hash of the id then keeps each row with a chance of docs_per_language over
     its language's count. Only the ranked lists (length times the number of languages) reach the driver."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed).select("doc_id", "lang", "text")
-    sizes = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed).groupBy("lang").agg(F.count("*").alias("_n"))
-    shares = {r["lang"]: docs_per_language / r["_n"] for r in sizes.collect()}
-    if not shares:
-        return Profiles.of({}, length)
-    chance = F.coalesce(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("lang")], F.lit(0.0))
-    sample = rows.where(spread(F.col("doc_id"), 5) < chance)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES)
+    sample = rows.join(F.broadcast(sizes), "lang").where(spread(F.col("doc_id"), 5) < F.lit(docs_per_language) / F.col("_n"))
     counts = map_columns(sample.select("lang", "text"), _count_task, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= length)
     lists: dict[str, list[int]] = {}
@@ -146,8 +144,13 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return map_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), task, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
-    """The rows whose language is determined, with a score of at least `least`; all columns as they are."""
+#: Scores below it say that a text is like no learned language: one word over and over, shouted or garbled text.
+LEAST = 0.4
+
+
+def keep_identified(docs: DataFrame, profiles: Profiles, least: float = LEAST) -> DataFrame:
+    """The rows whose language is determined, with a score of at least `least`; all columns as they are. Rows with a null
+    or letterless text go; repeated rows are judged each by itself."""
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
 

@@ -9,7 +9,9 @@ a bounded sample of zones, and on written-out and reformatted variants of such d
 Base spans always stay; spans of the model are added where they overlap no base span.
 
 Defined results: null and empty texts have no spans. Kinds may overlap each other among base spans (they are found kind
-by kind), added spans overlap nothing. Repeated rows are judged each by itself. Offsets are code points, end exclusive.
+by kind), added spans overlap nothing; of segmentations that score alike, the one that Viterbi meets first stays. Repeated
+rows are judged each by itself. Very long texts are taken whole, in time and memory that grow with their length. Columns but
+id and text aren't read (`masked` hands the others on); an empty table gives no rows. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import hashlib
 import math
 import random
 import re
+import zlib
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,10 +34,10 @@ from sedgewren.session import table
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a segment, at most: the longest e-mail address there is.
 LONGEST = 254
-#: Characters around a trigger that belong to its zone, at most.
-REACH = 48
-#: Zones that the model is fitted on, at most.
-FIT_ZONES = 1500
+#: Characters around a trigger that belong to its zone, at most: no segment is longer.
+REACH = LONGEST
+#: Zones that the model is fitted on, at most; of a document, and their length.
+FIT_ZONES, FIT_ZONES_DOCUMENT, FIT_LENGTH = 1500, 8, 384
 #: Share of the documents, by a hash of the id, that these zones are picked from.
 FIT_SHARE = 0.125
 
@@ -378,7 +382,10 @@ def learn(docs: DataFrame, most: int = FIT_ZONES) -> Crf:
 
     def task():
         def step(ids: list, texts: list):
-            rows = [(i, k, z, ",".join(f"{a}:{b}:{c}" for a, b, c in g)) for i, t in zip(ids, texts, strict=True) for k, (z, g) in enumerate(judged_zones(t)[:8]) if len(z) <= 8 * REACH]
+            rows = []
+            for i, t in zip(ids, texts, strict=True):
+                found = [(zlib.crc32(z.encode("utf-8", "replace")), k, z, g) for k, (z, g) in enumerate(judged_zones(t)) if len(z) <= FIT_LENGTH]
+                rows += [(i, k, z, ",".join(f"{a}:{b}:{c}" for a, b, c in g)) for _, k, z, g in sorted(found)[:FIT_ZONES_DOCUMENT]]
             return tuple([r[c] for r in rows] for c in range(4))
 
         return step
@@ -394,10 +401,21 @@ def find(text: str | None, model: Crf) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: both by kind as listed, then start."""
     text = text or ""
     base = base_spans(text)
+    starts, ends = [], []  # the stretches that base spans cover, in order
+    for _, x, y in sorted(base, key=lambda x: x[1:]):
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
     added = []
     for a, b in zones(text):
+        k = bisect_right(ends, a)
+        if k < len(ends) and starts[k] <= a and b <= ends[k]:
+            continue
         for kind, s, e in model.decode(text[a:b]):
-            if not any(a + s < y and x < a + e for _, x, y in base):
+            k = bisect_right(ends, a + s)  # the first stretch that ends after the span's start
+            if k == len(ends) or starts[k] >= a + e:
                 added.append((kind, a + s, a + e))
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -55,7 +56,10 @@ def test_language_id(spark):
     assert found[12]["lang_pred"] == found[13]["lang_pred"] == "und" and found[12]["score"] == 0
     empty = language_id.learn_contract(docs.limit(0))
     assert language_id.identify(docs, empty).where("lang_pred <> 'und'").count() == 0
-    assert language_id.keep_identified(docs, language_id.learn_contract(docs)).count() == 12
+    kept = language_id.keep_identified(docs, language_id.learn_contract(docs), 0.0).count()
+    assert kept == 12 and language_id.identify(docs.limit(0), empty).count() == 0
+    shouted = spark.createDataFrame([(0, "the house and the garden of the king", "en", "s", 0), (1, "zzq zzq zzq zzq zzq zzq", "en", "s", 0)], docs.schema)
+    assert [x["doc_id"] for x in language_id.keep_identified(shouted, language_id.learn_contract(docs)).collect()] == [0]
 
 
 def test_out_of_place_by_hand():
@@ -187,6 +191,26 @@ def test_whole_entities_are_candidates_and_found():
     assert (max(b - a for _, a, b in candidates("call " + "1 " * 400)) <= 37) and "dead:beef:cafe:babe" in {"call dead:beef:cafe:babe 1"[a:b] for _, a, b in candidates("call dead:beef:cafe:babe 1")}
 
 
+def test_spans_cost_by_their_number():
+    model, took = pii.fit(pii.variants(n=10)), {}
+    for n in (5_000, 50_000):
+        text = " ".join(f"user{i}@mail{i}.example.com" for i in range(n))
+        began = time.time()
+        base, spans = pii.find(text, model)
+        took[n] = time.time() - began
+        assert len(base) == n and set(base) <= set(spans)
+    assert took[50_000] < 25 * took[5_000]
+
+
+def test_added_spans_overlap_no_base_span():
+    model, r = pii.fit(pii.variants()), random.Random(21)
+    parts = [z for z, _ in pii.variants(seed=5, n=8)]
+    for _ in range(40):
+        base, spans = pii.find(" ".join(r.choice(parts) for _ in range(12)), model)
+        added = [s for s in spans if s not in base]
+        assert all(b <= x or y <= a for k, (_, a, b) in enumerate(added) for _, x, y in base + added[:k])
+
+
 def test_written_triggers_make_zones_in_any_case():
     for text in ("Jane [AT] Example [DOT] com", "jane [ at ] example.com", "jane (At ) example.com", "JANE AT EXAMPLE DOT COM"):
         assert pii._TRIGGER.search(text) and pii.zones(text) == [(0, len(text))], text
