@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from sedgewren.session import ship_package
 
 #: Text handled at once by a Python worker, in bytes of Arrow data.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2000
 
 #: Characters of a text that a model is fitted on, at most.
@@ -27,6 +28,21 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidy(run: Callable) -> Callable:
+    """run, after which the worker gives unused memory back: workers are kept, and many of them share an executor."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def schema_of(ddl: str | StructType) -> StructType:
     return ddl if isinstance(ddl, StructType) else _parse_datatype_string(ddl)
 
@@ -46,7 +62,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable], ddl: str) -> DataFr
             out = step(*[batch.column(i).to_pylist() for i in range(batch.num_columns)])
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def fold(doc_id: Column, n: int) -> Column:

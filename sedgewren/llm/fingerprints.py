@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sedgewren.llm.common import map_columns, prepare, schema_of
+from sedgewren.llm.common import map_columns, prepare, schema_of, tidy
 from sedgewren.llm.shingles import Shingler
 from sedgewren.session import table
 
@@ -126,7 +126,7 @@ def compare_neighbours(docs: DataFrame, scale: int = SCALE) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return with_next(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return with_next(docs.select("doc_id", "text")).mapInArrow(tidy(run), schema)
 
 
 def fingerprints(docs: DataFrame, scale: int = SCALE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

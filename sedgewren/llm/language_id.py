@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import fold, map_columns, prepare, spread
+from sedgewren.llm.common import fold, map_columns, prepare, spread, tidy
 from sedgewren.session import table
 
 UNDETERMINED = "und"
@@ -159,7 +159,7 @@ def keep_identified(docs: DataFrame, profiles: Profiles, least: float = LEAST) -
             found = [profiles.predict(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UNDETERMINED and s >= least for lang, s in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 HELD_FOLD = (4, 2)

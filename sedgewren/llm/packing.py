@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sedgewren.llm.bpe import byte_alphabet
-from sedgewren.llm.common import prepare, schema_of
+from sedgewren.llm.common import prepare, schema_of, tidy
 from sedgewren.session import table
 
 #: Context sizes, longest first; all powers of two.
@@ -226,7 +226,7 @@ def pack(docs: DataFrame, path: str, sizes: tuple[int, ...] = SIZES, end: int =
         if rows:
             yield batch_of()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def tokenizer_path() -> str:

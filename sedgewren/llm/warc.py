@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sedgewren.llm.common import prepare, schema_of
+from sedgewren.llm.common import prepare, schema_of, tidy
 from sedgewren.session import materialize, shared_path, table
 
 #: The skippable frame of dictionaries, and the WARC version line.
@@ -187,7 +187,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         system.move(mine, name)
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rsplit('/', 1)[1]}"]), pa.array([n]), pa.array([size])], schema=arrow)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return archives.select("path").mapInArrow(run, schema)
+    return archives.select("path").mapInArrow(tidy(run), schema)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
