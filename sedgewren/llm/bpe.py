@@ -1,24 +1,27 @@
 """Byte-pair encoding as a transducer with bounded lookahead, and an incremental decoder.
 
-A merge list decides tokens from left to right except for a bounded stretch: what follows a place can change the tokens
-before it only through a chain of merges, each of a later rank than the one that set it off, and the chain's length in
-symbols is bounded by the merge list alone. `sufficient_lookahead` computes that bound. The encoder buffers that many
-symbols, emits tokens once they are stable and forgets them, so a word without end takes constant memory.
+Symbols go in one by one. For each place the transducer knows the last token of the encoding of all symbols up to it: of the
+tokens that end there, the one that the merges keep apart from the last token before it. A token is stable, and leaves, once
+the encodings that can still go on (those that end where a longer token may begin) agree on it. What follows a place can
+change the tokens before it only through a chain of merges, each of a later rank than the one that set it off, and the
+chain's length in symbols is bounded by the merge list alone. `sufficient_lookahead` computes that bound, so what is held is
+bounded too, and a word without end takes constant memory.
 
-The merge list, special tokens and vocabulary come from a tokenizer file, whose path is a parameter.
+The merge list, special tokens and vocabulary come from a tokenizer file, whose path is a parameter. In the list, each token
+must be made by one rule, of parts that earlier rules make; other lists are refused.
 
 Defined results: a null text counts as empty; an empty text has no tokens and decodes to the empty text. Lone surrogates
-are replaced. Repeated rows are encoded each by itself.
+are replaced. Repeated rows are encoded each by itself. Very long texts and words are encoded whole. Ties don't arise: equal
+pairs merge from the left. Columns but id and text aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
-import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +32,10 @@ from pyspark.sql import functions as F
 from sedgewren.llm.common import map_columns
 from sedgewren.session import table
 
-#: Symbols of a word that are encoded at once; longer words are streamed.
-CHUNK = 512
-#: Words in each of the two generations of the memo.
-MEMO = 150_000
+#: Symbols between two looks for stable tokens.
+STEP = 8
+#: Words in each of the two generations of the memo, and pairs of tokens whose order of merging is remembered.
+MEMO, PAIRS = 150_000, 500_000
 _SPACE = r"\p{White_Space}"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
@@ -51,7 +54,8 @@ def byte_alphabet() -> list[str]:
 
 
 class Merges:
-    """A merge list over symbol ids."""
+    """A merge list over symbols: bytes within a word, and bytes at its end. As text, a symbol is chr(byte) or, at the end of
+    a word where the list tells these apart, chr(256 + byte)."""
 
     def __init__(self, path: str) -> None:
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -61,17 +65,65 @@ class Merges:
         self.text: dict[int, str] = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.special: dict[str, int] = {a["content"]: a["id"] for a in spec["added_tokens"]}
         alphabet = byte_alphabet()
-        self.inner = [vocab[c] for c in alphabet]
-        self.last = [vocab[c + self.suffix] for c in alphabet] if self.suffix else self.inner
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        self.size: dict[int, int] = dict.fromkeys([*self.inner, *self.last], 1)
+        self.ended = 256 if self.suffix else 0
+        self.symbols: dict[int, str] = {vocab[c]: chr(b) for b, c in enumerate(alphabet)} | {vocab[c + self.suffix]: chr(self.ended + b) for b, c in enumerate(alphabet)}
+        self.pairs: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = dict.fromkeys(self.symbols, -1)
         self.parts: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b, made = vocab[left], vocab[right], vocab[left + right]
-            self.pairs.setdefault((a, b), (rank, made))
-            self.parts.setdefault(made, (a, b))
-            self.size.setdefault(made, self.size[a] + self.size[b])
+            if made in self.rank or a not in self.rank or b not in self.rank:
+                raise ValueError(f"rule {rank} makes a token again, or of parts that no earlier rule makes: {left!r} {right!r}")
+            self.pairs[a, b], self.rank[made], self.parts[made] = rank, rank, (a, b)
+            self.symbols[made] = self.symbols[a] + self.symbols[b]
+        self.size = {t: len(x) for t, x in self.symbols.items()}
+        self.longest = max(self.size.values())
+        #: Of each token and each beginning of one: the token (or -1), and whether a longer one begins so.
+        self.known: dict[str, tuple[int, bool]] = {}
+        for x in self.symbols.values():
+            for n in range(1, len(x)):
+                self.known[x[:n]] = (-1, True)
+        self.asked: dict[tuple[int, int], bool] = {}
+        self.sound = {t: True for t in self.symbols if t not in self.parts}  # whether a token's own symbols give it
+        for t, (a, b) in self.parts.items():
+            self.sound[t] = self.sound[a] and self.sound[b] and self._apart(a, b, self.rank[t])
+        for t, x in self.symbols.items():
+            self.known[x] = (t if self.sound[t] else -1, x in self.known)
+
+    def edge(self, token: int, right: bool, until: float) -> list[tuple[int, float]]:
+        """The symbols and tokens that stand at an end of a token while it is made, with the rank that ends each."""
+        out = []
+        while True:
+            out.append((token, until))
+            if token not in self.parts:
+                return out[::-1]
+            until, token = self.rank[token], self.parts[token][right]
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether the merges of a's and b's symbols in a row leave a and b: no rule joins what stands at the border before
+        a rule within a (which lies to the left, so is first among equals) or b takes it away."""
+        found = self.asked.get((a, b))
+        if found is None:
+            if len(self.asked) >= PAIRS:
+                self.asked.clear()
+            found = self.asked[a, b] = self._apart(a, b, float("inf"))
+        return found
+
+    def _apart(self, a: int, b: int, until: float) -> bool:
+        """The same for rules below a rank."""
+        left, right = self.edge(a, True, until), self.edge(b, False, until)
+        i = j = 0
+        while i < len(left) and j < len(right):
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            rank = self.pairs.get((x, y))
+            if rank is not None and rank < x_ends and rank <= y_ends:
+                return False
+            if x_ends <= y_ends:
+                i += 1
+            if y_ends <= x_ends:
+                j += 1
+        return True
 
     def sufficient_lookahead(self) -> int:
         """Symbols after a place beyond which nothing can change the tokens that end at or before it.
@@ -81,7 +133,7 @@ class Merges:
         its right part starts with x. The longest such chain, in symbols of the x, is found rule by rule in rank order."""
         reach: dict[int, int] = {}  # longest chain that ends with a rule whose left part is this symbol
         most = 0
-        for (x, a), _ in sorted(self.pairs.items(), key=lambda kv: kv[1][0]):
+        for (x, a), _ in sorted(self.pairs.items(), key=lambda kv: kv[1]):
             before, c = 0, a
             while True:
                 before = max(before, reach.get(c, 0))
@@ -93,75 +145,95 @@ class Merges:
             most = max(most, chain)
         return most
 
-    def apply(self, symbols: list[int]) -> list[int]:
-        """The tokens of a complete run of symbols."""
-        pairs = self.pairs
-        if len(symbols) > 40:
-            return self._apply_long(symbols)
-        out = list(symbols)
-        while len(out) > 1:
-            best = None
-            for i in range(len(out) - 1):
-                found = pairs.get((out[i], out[i + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best = found
-                    at = i
-            if best is None:
-                break
-            a, b = out[at], out[at + 1]
-            i, made = at, best[1]
-            while i < len(out) - 1:  # all places of this pair, from the left
-                if out[i] == a and out[i + 1] == b:
-                    out[i : i + 2] = [made]
-                i += 1
+    def spelled(self, raw: bytes) -> str:
+        """The symbols of a word's bytes."""
+        return raw[:-1].decode("latin-1") + chr(self.ended + raw[-1]) if raw else ""
+
+    def apply(self, symbols: str) -> list[int]:
+        """The tokens of a whole word by merging over and over: slow, and what the transducer's results are tested by."""
+        base, made = {x: t for t, x in self.symbols.items() if len(x) == 1}, {pair: t for t, pair in self.parts.items()}
+        out = [base[c] for c in symbols]
+        while found := [(self.pairs[p], i) for i, p in enumerate(zip(out, out[1:])) if p in self.pairs]:
+            _, i = min(found)
+            out[i : i + 2] = [made[out[i], out[i + 1]]]
         return out
 
-    def _apply_long(self, symbols: list[int]) -> list[int]:
-        """The same with a heap of pairs over a linked list: n log n."""
-        n, pairs = len(symbols), self.pairs
-        out, left, right = list(symbols), [*range(-1, n - 1)], [*range(1, n + 1)]
-        heap = [(pairs[p][0], i, *p) for i in range(n - 1) if (p := (out[i], out[i + 1])) in pairs]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if out[i] != a or j >= n or out[j] != b:
-                continue
-            out[i], out[j] = pairs[a, b][1], -1
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
-                if (p := (out[i], out[right[i]])) in pairs:
-                    heapq.heappush(heap, (pairs[p][0], i, *p))
-            if left[i] >= 0 and (p := (out[left[i]], out[i])) in pairs:
-                heapq.heappush(heap, (pairs[p][0], left[i], *p))
-        return [s for s in out if s >= 0]
 
 
 class Transducer:
-    """Symbols in, stable tokens out. It holds at most CHUNK symbols, the lookahead and one symbol more."""
-
-    def __init__(self, merges: Merges, lookahead: int, chunk: int = CHUNK) -> None:
-        self.merges, self.lookahead, self.chunk, self.held = merges, lookahead, chunk, []
-
-    def feed(self, symbols: list[int]) -> Iterator[int]:
-        """Takes symbols that aren't a word's last; yields the tokens that are stable by now."""
-        for at in range(0, len(symbols), self.chunk):
-            self.held += symbols[at : at + self.chunk]
-            if len(self.held) < self.chunk + self.lookahead:
-                continue
-            stable, done = len(self.held) - self.lookahead, 0
-            for token in self.merges.apply(self.held):
-                if done + self.merges.size[token] > stable:
-                    break
-                done += self.merges.size[token]
-                yield token
-            del self.held[:done]
-
-    def finish(self, last: list[int]) -> list[int]:
-        """Takes a word's last symbols; gives its remaining tokens and is as new."""
-        out = self.merges.apply(self.held + last)
-        self.held = []
+    """Symbols in, stable tokens out. It holds at most the sufficient lookahead, a longest token and STEP symbols."""
+
+    def __init__(self, merges: Merges, lookahead: int) -> None:
+        self.merges, self.most = merges, lookahead + merges.longest + STEP
+        self.early = 0  # tokens that left before their word's end
+        self.reset()
+
+    def reset(self) -> None:
+        self.held = ""
+        self.last: list[tuple[int, int]] = []  # of each held symbol: the token that ends with it, and where that begins
+        self.open: list[int] = []  # places where a token that is longer than what is held may begin
+        self.before = -1  # the token that left last
+
+    def feed(self, symbols: str) -> list[int]:
+        """Takes the next symbols of a word; gives the tokens that are stable by now."""
+        out: list[int] = []
+        for at in range(0, len(symbols), STEP):
+            self._take(symbols[at : at + STEP])
+            if len(symbols) > at + STEP or len(self.held) >= STEP:
+                self._leave(out)
+        self.early += len(out)
+        return out
+
+    def _take(self, symbols: str) -> None:
+        known, asked, apart, last, before = self.merges.known, self.merges.asked, self.merges.apart, self.last, self.before
+        begins, held, self.held = self.open, self.held, self.held + symbols
+        text = self.held
+        for i in range(len(held), len(text)):
+            begins.append(i)
+            goes_on, made = [], None
+            for s in begins:
+                hit = known.get(text[s : i + 1])
+                if hit is None:
+                    continue
+                token, more = hit
+                if more:
+                    goes_on.append(s)
+                if made is None and token >= 0:
+                    left = last[s - 1][0] if s else before
+                    if left < 0 or (asked[left, token] if (left, token) in asked else apart(left, token)):
+                        made = (token, s)
+            last.append(made)
+            begins = goes_on
+        self.open = begins
+
+    def _leave(self, out: list[int]) -> None:
+        """Moves the tokens that all encodings that can go on have in common to out."""
+        ends = {*self.open, len(self.held)}
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            ends.add(self.last[end - 1][1])
+        if end := ends.pop():
+            self._move(end, out)
+            self.held, self.open = self.held[end:], [s - end for s in self.open]
+            self.last = [(t, s - end) for t, s in self.last[end:]]
+        elif len(self.held) > self.most:
+            raise RuntimeError("tokens that must be stable by now are not")
+
+    def _move(self, end: int, out: list[int]) -> None:
+        chain = []
+        while end:
+            token, end = self.last[end - 1]
+            chain.append(token)
+        out += reversed(chain)
+        self.before = out[-1]
+
+    def finish(self) -> list[int]:
+        """Ends the word: gives its remaining tokens and is as new."""
+        out: list[int] = []
+        if self.held:
+            self._move(len(self.held), out)
+        self.reset()
         return out
 
 
@@ -182,14 +254,8 @@ class Encoder:
         if found is None:
             found = self.old.pop(word, None)
             if found is None:
-                raw = word.encode("utf-8", "replace")
-                inner, last = self.merges.inner, self.merges.last[raw[-1]]
-                if len(raw) <= CHUNK:
-                    ids = self.transducer.finish([*map(inner.__getitem__, raw[:-1]), last])
-                else:
-                    ids = [*self.transducer.feed([*map(inner.__getitem__, raw[:-1])])]
-                    ids += self.transducer.finish([last])
-                found = np.array(ids, "<u4").tobytes()
+                ids = self.transducer.feed(self.merges.spelled(word.encode("utf-8", "replace")))
+                found = np.array(ids + self.transducer.finish(), "<u4").tobytes()
             if len(word) > 64:
                 return found
             if len(self.young) >= MEMO:
@@ -223,8 +289,8 @@ class Encoder:
 class Decoder:
     """Ids to text, piece by piece, with the state that has to be kept between pieces.
 
-    joined: as the tokenizers library decodes without a decoder, token texts with a space between them. Otherwise the
-    bytes that tokens stand for go through a UTF-8 state machine, and a word's end becomes a space."""
+    Bytes go through a UTF-8 state machine. joined: as the tokenizers library decodes without a decoder, those of the token
+    texts with a space between them. Otherwise those that the tokens stand for, and a word's end becomes a space."""
 
     def __init__(self, merges: Merges, joined: bool = True) -> None:
         self.joined = joined
@@ -243,19 +309,19 @@ class Decoder:
         self.begun = False
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: Iterable[int]) -> bytes | str:
-        """The next stretch of decoded text: UTF-8 if joined, else text without an unfinished character."""
+    def feed(self, ids: Iterable[int]) -> str:
+        """The next stretch of decoded text, without an unfinished character."""
         found = [self.pieces[i] for i in ids]
         if not self.joined:
             return self.machine.decode(b"".join(found))
         if not found:
-            return b""
+            return ""
         lead = b" " if self.begun else b""
         self.begun = True
-        return lead + b" ".join(found)
+        return self.machine.decode(lead + b" ".join(found))
 
     def finish(self) -> str:
-        out = "" if self.joined else self.machine.decode(b"", True)
+        out = self.machine.decode(b"", True)
         self.reset()
         return out
 
@@ -269,7 +335,8 @@ def decoded_digest(decoder: Decoder, ids: bytes) -> str:
     digest = hashlib.sha256()
     decoder.reset()
     for at in range(0, len(ids), 4 * STRETCH):
-        digest.update(decoder.feed(np.frombuffer(ids[at : at + 4 * STRETCH], "<u4").tolist()))
+        digest.update(decoder.feed(np.frombuffer(ids[at : at + 4 * STRETCH], "<u4").tolist()).encode("utf-8"))
+    digest.update(decoder.finish().encode("utf-8"))
     return digest.hexdigest()
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import json
 import random
 import re
 import time
@@ -456,14 +457,53 @@ def test_encoder_equals_the_library():
     assert mine.encode(None) == mine.encode("") == b""
 
 
-def test_transducer_is_stable_at_any_chunk():
+def test_transducer_equals_merging_at_any_chunk():
     merges = bpe.Merges(WORD_BPE)
     lookahead, r = merges.sufficient_lookahead(), random.Random(10)
-    for _ in range(60):
-        raw = [merges.inner[b] for b in "".join(r.choice("aeinrthsoul") for _ in range(r.randint(1, 3000))).encode()]
-        for chunk in (1, 64):
-            machine = bpe.Transducer(merges, lookahead, chunk)
-            assert [*machine.feed(raw[:-1])] + machine.finish(raw[-1:]) == merges.apply(raw)
+    for _ in range(300):
+        word = merges.spelled("".join(r.choice("aeinrthsoul") for _ in range(r.choice([1, 3, 9, 30, 300]))).encode())
+        for chunk in (1, 7, 1000):
+            machine, out = bpe.Transducer(merges, lookahead), []
+            for at in range(0, len(word), chunk):
+                out += machine.feed(word[at : at + chunk])
+                assert len(machine.held) <= machine.most
+            assert out + machine.finish() == merges.apply(word), word
+
+
+def test_transducer_equals_merging_for_random_lists(tmp_path):
+    r, lists, refused = random.Random(14), 0, 0
+    while lists < 150:
+        letters, rules = "abc", []
+        tokens = [c + end for c in letters for end in ("", "</w>")]
+        for _ in range(r.randint(1, 14)):
+            left, right = r.choice([t for t in tokens if not t.endswith("</w>")]), r.choice(tokens)
+            if left + right not in tokens:
+                tokens.append(left + right)
+                rules.append(f"{left} {right}")
+        alphabet = [c + end for c in bpe.byte_alphabet() for end in ("", "</w>")]
+        vocab = {t: i for i, t in enumerate([*alphabet, *(t for t in tokens if t not in alphabet)])}
+        path = tmp_path / f"{lists}.json"
+        path.write_text(json.dumps({"model": {"vocab": vocab, "merges": rules, "end_of_word_suffix": "</w>"}, "added_tokens": []}))
+        merges = bpe.Merges(str(path))
+        lists += 1
+        for _ in range(40):
+            word = merges.spelled("".join(r.choice(letters) for _ in range(r.randint(1, 40))).encode())
+            machine = bpe.Transducer(merges, merges.sufficient_lookahead())
+            assert [t for c in word for t in machine.feed(c)] + machine.finish() == merges.apply(word), (rules, word)
+        path.write_text(json.dumps({"model": {"vocab": vocab | {"zz": 10**6}, "merges": [*rules, "z z", "z z"], "end_of_word_suffix": "</w>"}, "added_tokens": []}))
+        with pytest.raises(ValueError):
+            bpe.Merges(str(path))
+
+
+def test_tokens_of_usual_words_leave_early_and_endless_words_take_constant_memory():
+    mine, r = bpe.Encoder(WORD_BPE), random.Random(15)
+    mine.encode(" ".join("".join(r.choice(["the", "tion", "an", "er", "ou"]) for _ in range(6)) for _ in range(500)))
+    assert mine.transducer.early > 500
+    machine, most = bpe.Transducer(mine.merges, mine.lookahead), 0
+    for _ in range(20_000):
+        machine.feed(r.choice("aeinrth"))
+        most = max(most, len(machine.held))
+    assert most < 64
 
 
 def test_text_decoder_keeps_split_characters():
