@@ -1,59 +1,63 @@
-"""Robots files, fetch outcomes and polite schedules."""
+"""Robots files, fetch outcomes and polite schedules, as tables by host."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def parse_robots(body: str, agent: str) -> tuple[list[tuple[str, bool]], int | None]:
-    """Rules (pattern, allow) and delay in ms for an agent: groups that name it, else those for all.
-
-    A group names the agent if one of its agent strings is part of the agent's own name; the empty string is part of any."""
-    groups: list[dict] = []
-    open_agents = False
-    for line in re.split(r"\r?\n", body):
-        field, colon, value = line.split("#", 1)[0].strip().partition(":")
-        if not colon:
-            continue
-        field, value = field.strip().lower(), value.strip()
-        if field == "user-agent":
-            if not (groups and open_agents):
-                groups.append({"agents": [], "rules": [], "delay": None})
-            open_agents = True
-            groups[-1]["agents"].append(value.lower())
-        elif groups:
-            open_agents = False
-            if field in ("allow", "disallow") and value:
-                groups[-1]["rules"].append((value, field == "allow"))
-            elif field == "crawl-delay" and re.fullmatch(r"[0-9]*\.?[0-9]+", value) and float(value) > 0:
-                groups[-1]["delay"] = round(float(value) * 1000)
-    chosen = [g for g in groups if any(a != "*" and a in agent for a in g["agents"])] or [g for g in groups if "*" in g["agents"]]
-    return [rule for g in chosen for rule in g["rules"]], next((g["delay"] for g in chosen if g["delay"]), None)
-
-
-def pattern_regex(pattern: str) -> str:
-    """* is any run of characters, a closing $ the end."""
+#: Characters of a robots file that are read, and the longest wait between two fetches of a host.
+MOST_CHARS, LONGEST_GAP_MS = 200_000, 5_000
+
+
+def directives(files: DataFrame, most: int = MOST_CHARS) -> DataFrame:
+    """host, place, field, value, section of the lines of robots files (host, body): comments and lines without a colon are
+    left out. A section begins with the first of adjoining user-agent lines; section 0 lies before the first."""
+    lines = files.select("host", F.posexplode(F.split(F.substring("body", 1, most), r"\r?\n")).alias("place", "line"))
+    text = F.trim(F.split_part(F.col("line"), F.lit("#"), F.lit(1)), F.lit(" \t\r\f\x0b"))
+    pair = lines.withColumn("text", text).where(F.col("text").contains(":"))
+    pair = pair.select("host", "place", F.lower(F.regexp_extract("text", r"^([^:]*?)\s*:", 1)).alias("field"), F.regexp_extract("text", r"^[^:]*:\s*([\s\S]*)$", 1).alias("value"))
+    by_host = Window.partitionBy("host").orderBy("place")
+    begins = (F.col("field") == "user-agent") & (F.lag("field", 1, "").over(by_host) != "user-agent")
+    return pair.withColumn("begins", begins.cast("int")).withColumn("section", F.sum("begins").over(by_host)).drop("begins")
+
+
+def robots_rules(files: DataFrame, agent: str, most: int = MOST_CHARS) -> DataFrame:
+    """host, rules (pattern, allow), delay_ms that hold for an agent, one row a host of files (host, status, body).
+
+    Sections that name the agent (one of their names is part of the agent's own) hold, else those for all. A server error
+    forbids everything; any other answer but success means no rules, as does a null status. A section's last delay counts,
+    and of several sections' the first."""
+    found = directives(files.where("status between 200 and 299"), most).where("section > 0")
+    name = F.when(F.col("field") == "user-agent", F.lower("value"))
+    named = F.bool_or((name != "*") & F.lit(agent).contains(name))
+    seconds = F.when((F.col("field") == "crawl-delay") & F.col("value").rlike(r"^[0-9]*\.?[0-9]+$"), F.col("value").cast("double"))
+    rule = F.when(F.col("field").isin("allow", "disallow") & (F.col("value") != ""), F.struct("place", F.col("value").alias("pattern"), (F.col("field") == "allow").alias("allow")))
+    sections = found.groupBy("host", "section").agg(
+        F.coalesce(named, F.lit(False)).alias("named"), F.coalesce(F.bool_or(name == "*"), F.lit(False)).alias("general"),
+        F.collect_list(rule).alias("rules"), F.max_by(F.when(seconds > 0, F.round(seconds * 1000).cast("long")), F.when(seconds > 0, F.col("place"))).alias("delay_ms"),
+    )
+    sections = sections.withColumn("any_named", F.max("named").over(Window.partitionBy("host"))).where(F.when(F.col("any_named"), F.col("named")).otherwise(F.col("general")))
+    rules = F.transform(F.array_sort(F.flatten(F.collect_list("rules"))), lambda r: F.struct(r["pattern"].alias("pattern"), r["allow"].alias("allow")))
+    held = sections.groupBy("host").agg(rules.alias("rules"), F.min_by("delay_ms", F.when(F.col("delay_ms").isNotNull(), F.col("section"))).alias("delay_ms"))
+    none = F.array().cast("array<struct<pattern:string,allow:boolean>>")
+    shut = F.array(F.struct(F.lit("/").alias("pattern"), F.lit(False).alias("allow")))
+    return files.select("host", "status").join(held, "host", "left").select("host", F.when(F.col("status") >= 500, shut).otherwise(F.coalesce("rules", none)).alias("rules"), "delay_ms")
+
+
+def pattern_regex(pattern: Column) -> Column:
+    """The expression for a pattern: * is any run of characters, a closing $ the end, all else stands for itself."""
     anchored = pattern.endswith("$")
-    body = pattern[:-1] if anchored else pattern
-    return "^" + ".*".join(re.escape(p) for p in body.split("*")) + ("$" if anchored else "")
-
+    plain = F.when(anchored, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern)
+    quoted = F.replace(F.replace(plain, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("*"), F.lit("\\E.*\\Q"))
+    return F.concat(F.lit("^\\Q"), quoted, F.lit("\\E"), F.when(anchored, F.lit("$")).otherwise(F.lit("")))
 
-def allowed(target: Column, rules: list[tuple[str, bool]]) -> Column:
-    """The longest matching pattern decides, Allow on ties; without a match the path is allowed."""
-    decision = F.lit(True)
-    for pattern, allow in sorted(rules, key=lambda x: (len(x[0]), x[1])):  # the last match wins
-        decision = F.when(target.rlike(pattern_regex(pattern)), F.lit(allow)).otherwise(decision)
-    return decision
 
-
-def availability(status: int | None, body: str | None, agent: str, most: int = 200_000) -> list[tuple[str, bool]]:
-    """Server errors disallow all; any other failure means no rules."""
-    if status is not None and status >= 500:
-        return [("/", False)]
-    return parse_robots((body or "")[:most], agent)[0] if status is not None and 200 <= status < 300 else []
+def allowed(target: Column, rules: Column) -> Column:
+    """Whether rules (array of pattern, allow) let a path be fetched: the longest matching pattern decides, Allow on ties;
+    without a match, or without rules, it may be."""
+    hits = F.filter(rules, lambda r: F.regexp_like(target, pattern_regex(r["pattern"])))
+    best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
+    return F.coalesce(best["allow"], F.lit(True))
 
 
 def fetch_outcome(error: Column, status: Column, content_type: Column) -> Column:
@@ -67,7 +71,13 @@ def fetch_outcome(error: Column, status: Column, content_type: Column) -> Column
     )
 
 
-def schedule(rows: DataFrame, host: str, order: str, gap_ms: int) -> DataFrame:
+def polite_gap(gap_ms: int, delay_ms: Column, longest: int = LONGEST_GAP_MS) -> Column:
+    """The gap between fetches of a host: its own crawl delay if that is longer, up to a limit."""
+    return F.least(F.greatest(F.lit(gap_ms).cast("long"), F.coalesce(delay_ms, F.lit(0).cast("long"))), F.lit(longest).cast("long"))
+
+
+def schedule(rows: DataFrame, host: str, order: str, gap_ms: int | Column) -> DataFrame:
     """Earliest starts with a gap between fetches of one host."""
     at = F.row_number().over(Window.partitionBy(host).orderBy(order)) - 1
-    return rows.select(order, host, (at * gap_ms).cast("long").alias("start_ms"))
+    gap = gap_ms if isinstance(gap_ms, Column) else F.lit(gap_ms)
+    return rows.select(order, host, (at * gap).cast("long").alias("start_ms"))

@@ -388,7 +388,7 @@ FROM (SELECT page_id, CASE WHEN x = '' OR x[1] <> '/' THEN '/' || x ELSE x END A
 def _(spark, d):
     from sedgewren.operators.robots import allowed
 
-    rules = [("/", True), ("/*?", False), ("/a", False), ("/*.html$", True)]
+    rules = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(a).alias("allow")) for p, a in (("/", True), ("/*?", False), ("/a", False), ("/*.html$", True))])
     target = F.regexp_extract("url", "^[a-z]+://[^/?#]+([^#]*)", 1)
     target = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
     return table(spark, d, "pages").select("page_id", allowed(target, rules).alias("allowed"))

@@ -15,8 +15,8 @@ from sedgewren.sources.records import ID_NAMES, items, kind, node, normalise, pi
 #: Texts that failed uploads leave, container and count names, states of a fetch, files that aren't records.
 PLACEHOLDER = r"(?i)^(<file>|placeholder|null|undefined|todo|tbd|\{\}|\[\])$"
 LEAST_CHARS = 32
-CONTAINERS = ("$.bookmarks", "$.data", "$.items")
-COUNTS = ("$.count", "$.total", "$.total_count", "$.bookmark_count")
+CONTAINERS = ("$.data", "$.items")
+COUNTS = ("$.count", "$.total", "$.total_count")
 STATUSES = ("ok", "empty", "unsupported_type", "http_error", "network_error", "timeout", "blocked_by_robots", "skipped")
 BOOKKEEPING = ("index.json", "short-links.json")
 CRAWL_SCHEMA = (
@@ -28,7 +28,7 @@ MANIFEST_SCHEMA = "count long, last_id string, source string, owner string, part
 
 @dataclass
 class ExportRead:
-    """What a guarded read found. reason: missing, invalid_json, wrong_shape, no_bookmarks or truncated, if it isn't ok."""
+    """What a guarded read found. reason: missing, invalid_json, wrong_shape, no_records or truncated, if it isn't ok."""
 
     ok: bool
     reason: str | None = None
@@ -56,20 +56,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def containers(v: Column) -> Column:
-    """The array of records: the document itself or the first container that is there; null if that is no array."""
-    return F.when(kind(v).startswith("ARRAY"), items(v)).otherwise(items(node(v, *CONTAINERS)))
+def containers(v: Column, holders: tuple[str, ...] = CONTAINERS) -> Column:
+    """The array of records: the document itself or the first of the holders that is there; null if that is no array."""
+    return F.when(kind(v).startswith("ARRAY"), items(v)).otherwise(items(node(v, *holders)))
 
 
-def read_export(spark: SparkSession, path: str) -> ExportRead:
-    """Reads one JSON export. A file that is missing, a placeholder, malformed, without usable records, or that holds
+def read_export(spark: SparkSession, path: str, holders: tuple[str, ...] = CONTAINERS, counts: tuple[str, ...] = COUNTS) -> ExportRead:
+    """Reads one JSON export, whose records are in one of the holders and counted by one of the counts (paths). A file that is missing, a placeholder, malformed, without usable records, or that holds
     fewer than it declares is told apart. One document is one task's work; large exports come in parts (assemble)."""
     if not exists(spark, path):
         return ExportRead(False, "missing", f"No export at {path}.")
     doc = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("raw"))
     doc = doc.select("raw", F.try_parse_json("raw").alias("v"))
-    counts = [F.when(kind(F.try_variant_get("v", p, "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get("v", p, "double")) for p in COUNTS]
-    declared = F.coalesce(*[F.when(c >= 0, c) for c in counts])
+    given = [F.when(kind(F.try_variant_get("v", p, "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get("v", p, "double")) for p in counts]
+    declared = F.coalesce(*[F.when(c >= 0, c) for c in given])
     facts = doc.select(F.left("raw", F.lit(40)).alias("start"), F.length("raw").alias("n"), F.col("raw").rlike(PLACEHOLDER).alias("empty"), F.col("v").isNull().alias("bad"), kind(F.col("v")).alias("kind"), declared.alias("declared")).first()
     if facts is None or facts["empty"] or facts["n"] < LEAST_CHARS:
         return ExportRead(False, "invalid_json", f"{path} holds {facts['start'] if facts else 'nothing'!r}: it looks like a placeholder of a failed upload.")
@@ -77,13 +77,13 @@ def read_export(spark: SparkSession, path: str) -> ExportRead:
         return ExportRead(False, "invalid_json", f"{path} is not valid JSON. It starts with {facts['start']!r}.")
     if not facts["kind"].startswith(("ARRAY", "OBJECT")):
         return ExportRead(False, "wrong_shape", f"{path} holds {facts['kind']}, not an array or an object of records.")
-    rows = doc.select(F.posexplode(containers(F.col("v"))).alias("pos", "record"))
+    rows = doc.select(F.posexplode(containers(F.col("v"), holders)).alias("pos", "record"))
     records = normalise(rows, "record", "pos")
     entries = rows.select(F.count("*").alias("n"), F.count(pick(F.col("record"), *ID_NAMES)).alias("usable")).first()
     skipped = entries["n"] - entries["usable"]
     usable = records.count()
     if usable == 0:
-        return ExportRead(False, "no_bookmarks", f"{path} has no usable records ({skipped} entries rejected).", skipped=skipped)
+        return ExportRead(False, "no_records", f"{path} has no usable records ({skipped} entries rejected).", skipped=skipped)
     if facts["declared"] is not None and facts["declared"] > usable + skipped:
         return ExportRead(False, "truncated", f"{path} declares {facts['declared']:.0f} records but contains {usable + skipped}.", skipped=skipped)
     return ExportRead(True, None, "", records, skipped, None if facts["declared"] is None else int(facts["declared"]))

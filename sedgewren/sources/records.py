@@ -27,7 +27,7 @@ ADDRESS = ("https://x.com/", "/status/")
 LINK = r"(https?://[^\s<>\"')]+)"
 LEGACY_DATE = "MMM d HH:mm:ss Z yyyy"
 
-COLUMNS = ("id", "text", "author_name", "author_handle", "avatar_url", "url", "created_at", "bookmarked_at", "external_urls", "short_urls", "topics", "media", "metrics")
+COLUMNS = ("id", "text", "author_name", "author_handle", "avatar_url", "url", "created_at", "saved_at", "external_urls", "short_urls", "topics", "media", "metrics")
 _NONE = "array<string>"
 
 

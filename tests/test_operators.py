@@ -18,14 +18,20 @@ def test_extract_handles_open_paragraphs_and_furniture():
     assert len(html.extract("<body><p>" + "word " * 500)["text"]) > 200 and len(html.extract("<body><p>" + "word " * 500, 200)["text"]) <= 200
 
 
-def test_robots(spark):
-    rules, delay = robots.parse_robots("User-agent: *\nDisallow: /cgi-bin\nDisallow: /a/cgi-bin\nDisallow: /wp-admin/\nAllow: /wp-admin/admin-ajax.php\nDisallow: /*?\nCrawl-delay: 2\n", "somebot")
-    assert delay == 2000
-    paths = {"/greatwork.html": True, "/a/cgi-bin/x": False, "/wp-admin/admin-ajax.php": True, "/docs?page=2": False}
-    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", robots.allowed(F.col("p"), rules).alias("ok")).collect()
-    assert {r["p"]: r["ok"] for r in rows} == paths
-    assert robots.parse_robots("User-agent: other\nDisallow: /\n", "somebot") == ([], None)
-    assert robots.availability(503, None, "somebot") == [("/", False)] and robots.availability(404, None, "somebot") == []
+def test_robots_by_host(spark):
+    quiet = "Sitemap: https://q/s.xml\n# none\nUser-Agent: crowbot\nUSER-AGENT: *\nDisallow: /vault # closed\r\nAllow: /vault/lobby\nDisallow: /*.zip$\nDisallow:\nCrawl-delay: 1.5\n\nUser-agent: gullbot\nDisallow: /\n"
+    named = "User-agent: *\nDisallow: /\nUser-agent: wren\nDisallow: /nest(1)\nDisallow: /*?\nnonsense\nUser-agent: wrenbot\nCrawl-delay: 9\nAllow: /nest(1)/open\nDisallow: /a\\Eb"
+    files = spark.createDataFrame([("quiet", 200, quiet), ("named", 204, named), ("down", 503, None), ("gone", 404, quiet), ("never", None, None), ("bare", 200, "")], "host string, status int, body string")
+    rules = robots.robots_rules(files, "wrenbot").cache()
+    held = {r["host"]: (sorted((x["pattern"], x["allow"]) for x in r["rules"]), r["delay_ms"]) for r in rules.collect()}
+    assert held["quiet"] == ([("/*.zip$", False), ("/vault", False), ("/vault/lobby", True)], 1500)
+    assert held["named"] == ([("/*?", False), ("/a\\Eb", False), ("/nest(1)", False), ("/nest(1)/open", True)], 9000)
+    assert held["down"] == ([("/", False)], None) and held["gone"] == held["never"] == held["bare"] == ([], None)
+    paths = {("quiet", "/vault/x"): False, ("quiet", "/vault/lobby/y"): True, ("quiet", "/b/c.zip"): False, ("quiet", "/b/c.zip.html"): True, ("named", "/nest(1)/a"): False, ("named", "/nest(1)/open"): True, ("named", "/nest1"): True, ("named", "/z?q=1"): False, ("named", "/a\\Eb"): False, ("down", "/"): False, ("gone", "/vault"): True}
+    asked = spark.createDataFrame(list(paths), "host string, path string").join(rules, "host")
+    assert {(r["host"], r["path"]): r["ok"] for r in asked.select("host", "path", robots.allowed(F.col("path"), F.col("rules")).alias("ok")).collect()} == paths
+    gaps = rules.select("host", robots.polite_gap(750, F.col("delay_ms")).alias("gap"))
+    assert {r["host"]: r["gap"] for r in gaps.collect()} == {"quiet": 1500, "named": 5000, "down": 750, "gone": 750, "never": 750, "bare": 750}
 
 
 def test_bm25_against_plain_python(spark):

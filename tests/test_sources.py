@@ -7,10 +7,10 @@ from sedgewren.sources import exports, records
 from sedgewren.streaming import incremental
 
 NESTED = {
-    "rest_id": "1799",
-    "core": {"name": "Ada", "screen_name": "@ada"},
-    "legacy": {"full_text": "graph theory notes https://t.co/abc", "created_at": "Wed Oct 10 20:19:24 +0000 2018"},
-    "entities": {"urls": [{"url": "https://t.co/abc", "expanded_url": "https://example.com/notes?utm_source=x"}]},
+    "rest_id": "5520817",
+    "core": {"name": "Mira Holt", "screen_name": "@mholt"},
+    "legacy": {"full_text": "tide tables for sailors https://t.co/q9z", "created_at": "Sat Feb 29 06:30:05 +0000 2020"},
+    "entities": {"urls": [{"url": "https://t.co/q9z", "expanded_url": "https://harbour.example/tides?utm_source=mail"}]},
 }
 FLAT = {"id": 42, "text": " flat ", "author_username": "bo", "author_name": "Bo", "post_url": "https://x.com/bo/status/42", "created_at": "2026-03-04T05:06:07Z", "external_urls": ["https://example.com/a", None, 3]}
 ODD = {"id": "7", "text": None, "author": "who", "created_at": "no date", "external_urls": "x", "media": [{"media_url_https": "https://m.example/1"}, {"type": "video"}], "tags": ["t", " ", 5], "metrics": {"likes": 1}}
@@ -23,11 +23,11 @@ def rows_of(spark, found):
 
 def test_records_of_several_forms(spark):
     got = {r["id"]: r for r in records.normalise(rows_of(spark, [NESTED, FLAT, ODD, {"text": "no id"}, None, 5, FLAT | {"text": "later"}]), "record", "pos").collect()}
-    assert set(got) == {"1799", "42", "7"}
-    a = got["1799"]
-    assert (a["author_handle"], a["author_name"], a["url"]) == ("ada", "Ada", "https://x.com/ada/status/1799")
-    assert a["external_urls"] == ["https://example.com/notes"] and a["short_urls"] == ["https://t.co/abc"]
-    assert a["created_at"].isoformat() == "2018-10-10T20:19:24"
+    assert set(got) == {"5520817", "42", "7"}
+    a = got["5520817"]
+    assert (a["author_handle"], a["author_name"], a["url"]) == ("mholt", "Mira Holt", "https://x.com/mholt/status/5520817")
+    assert a["external_urls"] == ["https://harbour.example/tides"] and a["short_urls"] == ["https://t.co/q9z"]
+    assert a["created_at"].isoformat() == "2020-02-29T06:30:05"
     b = got["42"]
     assert b["text"] == "flat" and b["external_urls"] == ["https://example.com/a"] and b["created_at"].isoformat() == "2026-03-04T05:06:07"
     c = got["7"]
@@ -36,7 +36,7 @@ def test_records_of_several_forms(spark):
     assert json.loads(c["metrics"]) == {"likes": 1}
 
 
-@pytest.mark.parametrize("text", ["<file>", "PLACEHOLDER", "", "null", "TODO", '{"bookmarks": [ this is not json at all'])
+@pytest.mark.parametrize("text", ["undefined", "tbd", "  ", "{}", "too short", '{"items": [{"id": "cut off in the middle of a rec'])
 def test_broken_exports(spark, tmp_path, text):
     path = tmp_path / "e.json"
     path.write_text(text)
@@ -49,18 +49,19 @@ def test_export_outcomes(spark, tmp_path):
 
     def read(x):
         path.write_text(json.dumps(x))
-        return exports.read_export(spark, str(path))
+        return exports.read_export(spark, str(path), holders=("$.saved", *exports.CONTAINERS), counts=("$.saved_count", *exports.COUNTS))
 
     assert exports.read_export(spark, str(tmp_path / "none.json")).reason == "missing"
-    for shape in ([FLAT], {"bookmarks": [FLAT]}, {"data": [FLAT]}, {"items": [FLAT], "count": 1}):
+    for shape in ([FLAT], {"saved": [FLAT]}, {"data": [FLAT]}, {"items": [FLAT], "count": 1}):
         assert read(shape).records.count() == 1
+    assert exports.read_export(spark, str(path), holders=("$.other",)).reason == "no_records"
     assert read("a string that is certainly long enough").reason == "wrong_shape"
-    empty = read({"bookmarks": [{"nope": 1}, {"also": 2}, {"third": "entry"}]})
-    assert empty.reason == "no_bookmarks" and "3 entries" in empty.message
-    assert read({"count": 196, "bookmarks": [FLAT]}).reason == "truncated"
-    good = read({"count": 3, "bookmarks": [FLAT, NESTED, {"garbage": True}, None, FLAT]})
+    empty = read({"data": [{"title": "a"}, {"title": "b"}, {"size": 3}, {"colour": "red"}]})
+    assert empty.reason == "no_records" and "4 entries" in empty.message
+    assert read({"saved_count": 31, "saved": [FLAT]}).reason == "truncated"
+    good = read({"total": 3, "items": [FLAT, NESTED, {"shape": "round"}, None, FLAT]})
     assert good.ok and good.skipped == 2 and good.declared == 3
-    assert [r["id"] for r in records.newest_first(good.records).collect()] == ["42", "1799"]
+    assert [r["id"] for r in records.newest_first(good.records).collect()] == ["42", "5520817"]
 
 
 def write_parts(folder, parts, **manifest):
