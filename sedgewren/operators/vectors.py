@@ -12,18 +12,19 @@ DIMENSIONS = 512
 
 def local_embed(docs: DataFrame, id_col: str, text: Column, dims: int = DIMENSIONS) -> DataFrame:
     """doc_id, bucket, weight: the sparse unit vector of each text."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(terms(text)).alias("pos", "w"))
-    one = words.select("doc_id", F.concat(F.lit("w:"), "w").alias("f"), F.lit(20).cast("long").alias("x"))
-    pairs = docs.select(F.col(id_col).alias("doc_id"), terms(text).alias("ws")).where(F.size("ws") > 1)
-    pairs = pairs.select("doc_id", F.explode(F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("a"), F.slice("ws", F.lit(2), F.size("ws") - 1).alias("b"))).alias("p"))
-    two = pairs.select("doc_id", F.concat(F.lit("b:"), "p.a", F.lit("_"), "p.b").alias("f"), F.lit(12).cast("long").alias("x"))
-    grams = words.where(F.length("w") >= 5).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 3), lambda i: F.substring("w", i, F.lit(4)))).alias("g"))
-    four = grams.select("doc_id", F.concat(F.lit("c:"), "g").alias("f"), F.lit(5).cast("long").alias("x"))
-    rows = one.unionAll(two).unionAll(four).groupBy("doc_id", "f").agg(F.sum("x").alias("x")).withColumn("h", fnv1a(F.col("f")))
+    ws = docs.select(F.col(id_col).alias("doc_id"), terms(text).alias("ws"))
+    item = lambda f, x: F.struct(f.alias("f"), F.lit(x).cast("long").alias("x"))
+    one = F.transform("ws", lambda w: item(F.concat(F.lit("w:"), w), 20))
+    after = F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 1, F.lit(0)))
+    two = F.zip_with(F.slice("ws", F.lit(1), F.size(after)), after, lambda a, b: item(F.concat(F.lit("b:"), a, F.lit("_"), b), 12))
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: item(F.concat(F.lit("c:"), F.substring(w, i, F.lit(4))), 5))
+    four = F.flatten(F.transform(F.filter("ws", lambda w: F.length(w) >= 5), grams))
+    rows = ws.select("doc_id", F.explode(F.concat(one, two, four)).alias("i")).groupBy("doc_id", F.col("i.f").alias("f")).agg(F.sum("i.x").alias("x")).withColumn("h", fnv1a(F.col("f")))
     signed = F.when(F.col("h") >= 2147483648, -F.col("x")).otherwise(F.col("x"))
     buckets = rows.groupBy("doc_id", (F.col("h") % dims).alias("bucket")).agg(F.sum(signed).alias("x")).where("x <> 0")
-    norm = buckets.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x")).cast("double")).alias("norm"))
-    return buckets.join(norm, "doc_id").select("doc_id", "bucket", (F.col("x") / F.col("norm")).alias("weight"))
+    whole = buckets.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "x")).alias("of"))  # at most dims entries a row
+    norm = F.sqrt(F.aggregate("of", F.lit(0).cast("long"), lambda s, v: s + v["x"] * v["x"]).cast("double"))
+    return whole.select("doc_id", norm.alias("norm"), F.inline("of")).select("doc_id", "bucket", (F.col("x") / F.col("norm")).alias("weight"))
 
 
 def dot(a: Column, b: Column) -> Column:

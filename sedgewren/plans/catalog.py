@@ -14,7 +14,7 @@ from sedgewren.functions import urls as U
 from sedgewren.operators import keyword as K
 from sedgewren.operators import vectors as V
 from sedgewren.plans import duck as D
-from sedgewren.session import table
+from sedgewren.session import table, text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,28 +48,28 @@ def count_long() -> Column:
 
 @query("tokenize", f"SELECT doc_id, CAST(p AS BIGINT) AS pos, ts[p] AS token FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS p FROM (SELECT doc_id, {D.tokens('text')} AS ts FROM documents))")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("p", "token")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "token")
+    return text_table(spark, d, "documents").select("doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("p", "token")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "token")
 
 
 @query("stem", f"SELECT DISTINCT q AS token, {D.stem('q')} AS stem FROM (SELECT unnest({D.tokens('text')}) AS q FROM documents)")
 def _(spark, d):
-    rows = table(spark, d, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
+    rows = text_table(spark, d, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
     return rows.select("token", T.stem(F.col("token")).alias("stem"))
 
 
 @query("terms", f"SELECT doc_id, array_to_string({D.terms('text')}, ' ') AS terms FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.terms(F.col("text")), " ").alias("terms"))
+    return text_table(spark, d, "documents").select("doc_id", F.array_join(T.terms(F.col("text")), " ").alias("terms"))
 
 
 @query("term_freq", f"SELECT doc_id, term, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest({D.terms('text')}) AS term FROM documents) GROUP BY ALL")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(count_long())
+    return text_table(spark, d, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(count_long())
 
 
 @query("bigrams", f"SELECT doc_id, CAST(p AS BIGINT) AS pos, ts[p] AS a, ts[p + 1] AS b FROM (SELECT doc_id, ts, unnest(range(1, len(ts))) AS p FROM (SELECT doc_id, {D.terms('text')} AS ts FROM documents))")
 def _(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", T.terms(F.col("text")).alias("ts")).where(F.size("ts") > 1)
+    rows = text_table(spark, d, "documents").select("doc_id", T.terms(F.col("text")).alias("ts")).where(F.size("ts") > 1)
     zipped = F.arrays_zip(F.slice("ts", F.lit(1), F.size("ts") - 1).alias("a"), F.slice("ts", F.lit(2), F.size("ts") - 1).alias("b"))
     return rows.select("doc_id", F.posexplode(zipped).alias("p", "x")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "x.a", "x.b")
 
@@ -81,7 +81,7 @@ def _(spark, d):
 
 @query("truncate_text", f"SELECT doc_id, {D.truncated('text', 240)} AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.truncate(F.col("text"), 240).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", T.truncate(F.col("text"), 240).alias("text"))
 
 
 @query("card_blurb", f"SELECT page_id, {D.truncated('html', 260)} AS blurb, {D.truncated('url', 140)} AS title FROM pages")
@@ -106,23 +106,23 @@ def _(spark, d):
 
 @query("pluralize", "SELECT doc_id, format('{:,}', n_chars) || CASE WHEN n_chars = 1 THEN ' char' ELSE ' chars' END AS label FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.pluralize(F.col("n_chars"), "char", "chars").alias("label"))
+    return text_table(spark, d, "documents").select("doc_id", T.pluralize(F.col("n_chars"), "char", "chars").alias("label"))
 
 
 @query("fnv1a", f"SELECT w, {D.fnv('w')} AS h FROM (SELECT DISTINCT 'w:' || q AS w FROM (SELECT unnest({D.tokens('text')}) AS q FROM documents))")
 def _(spark, d):
-    rows = table(spark, d, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("q")).distinct()
+    rows = text_table(spark, d, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("q")).distinct()
     return rows.select(F.concat(F.lit("w:"), "q").alias("w")).select("w", T.fnv1a(F.col("w")).alias("h"))
 
 
 @query("page_text", "SELECT doc_id, concat_ws(chr(10), nullif(source, ''), nullif(lang, ''), nullif(left(text, 1500), '')) AS page_text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.page_text([F.col("source"), F.col("lang")], F.col("text"), 1500).alias("page_text"))
+    return text_table(spark, d, "documents").select("doc_id", T.page_text([F.col("source"), F.col("lang")], F.col("text"), 1500).alias("page_text"))
 
 
 @query("search_text", "SELECT doc_id, concat_ws(chr(10), nullif(source, ''), nullif(lang, ''), nullif(text, '')) AS search_text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.page_text([F.col("source"), F.col("lang")], F.col("text"), 1 << 30).alias("search_text"))
+    return text_table(spark, d, "documents").select("doc_id", T.page_text([F.col("source"), F.col("lang")], F.col("text"), 1 << 30).alias("search_text"))
 
 
 @query("canonical_url", f"SELECT page_id, {D.canonical('url')} AS canonical FROM pages")
@@ -212,7 +212,7 @@ def _(spark, d):
 
 @query("dedupe_first_wins", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
 def _(spark, d):
-    return table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return text_table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("dedupe_latest_first", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
@@ -224,7 +224,7 @@ def _(spark, d):
 @query("library_left_join", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, l.doc_id IS NOT NULL AS labelled, CASE WHEN l.doc_id IS NULL THEN 0 ELSE n_chars END AS n_chars FROM documents d LEFT JOIN labels l USING (doc_id)")
 def _(spark, d):
     labels = table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("hit"))
-    rows = table(spark, d, "documents").select("doc_id", "n_chars").join(labels, "doc_id", "left")
+    rows = text_table(spark, d, "documents").select("doc_id", "n_chars").join(labels, "doc_id", "left")
     return rows.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("hit", F.lit(False)).alias("labelled"), F.when(F.col("hit"), F.col("n_chars")).otherwise(F.lit(0)).alias("n_chars"))
 
 
@@ -232,7 +232,7 @@ def _(spark, d):
 def _(spark, d):
     from sedgewren.operators.library import crawl_queue
 
-    return crawl_queue(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", (F.col("quality") == 0) | (F.col("n_chars") > 20000)).select("doc_id")
+    return crawl_queue(text_table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", (F.col("quality") == 0) | (F.col("n_chars") > 20000)).select("doc_id")
 
 
 @query("prune_stale", "SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -240,11 +240,10 @@ def _(spark, d):
     return table(spark, d, "labels").select("doc_id", "quality", "toxic").join(table(spark, d, "documents").where("lang = 'en'"), "doc_id", "left_semi")
 
 
-@query("shortlink_join", "SELECT p.page_id, q.url FROM pages p JOIN pages q ON q.page_id = p.page_id + 1 WHERE q.page_id % 3 <> 0")
+@query("shortlink_join", "SELECT p.page_id, q.url FROM pages p JOIN pages q ON q.page_id = 2 * p.page_id")
 def _(spark, d):
     pages = table(spark, d, "pages")
-    resolved = pages.where("page_id % 3 <> 0").select((F.col("page_id") - 1).alias("page_id"), "url")
-    return pages.select("page_id").join(resolved, "page_id")
+    return pages.select("page_id").join(pages.select(F.col("page_id").alias("other"), "url"), F.col("other") == 2 * F.col("page_id")).select("page_id", "url")
 
 
 @query(
@@ -286,7 +285,7 @@ def _(spark, d):
 def _(spark, d):
     from sedgewren.operators.library import sitemap
 
-    return sitemap(table(spark, d, "documents").select("lang").distinct(), "lang", table(spark, d, "pages").select(U.url_key(U.canonical_url(F.col("url"))).alias("key")), "key")
+    return sitemap(text_table(spark, d, "documents").select("lang").distinct(), "lang", table(spark, d, "pages").select(U.url_key(U.canonical_url(F.col("url"))).alias("key")), "key")
 
 
 @query("status_rollup", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
@@ -299,14 +298,14 @@ def _(spark, d):
     from sedgewren.operators.topics import topic_counts
 
     slugs = spark.createDataFrame([("en",), ("de",), ("fr",), ("es",), ("xx",), ("misc",)], "slug string")
-    return topic_counts(table(spark, d, "documents").select(F.array("lang").alias("topics")), slugs)
+    return topic_counts(text_table(spark, d, "documents").select(F.array("lang").alias("topics")), slugs)
 
 
 @query("topic_rank", "SELECT source AS slug, CAST(row_number() OVER (ORDER BY count(*) DESC, source) AS BIGINT) AS rank FROM documents GROUP BY source")
 def _(spark, d):
     from sedgewren.operators.library import ranked_groups
 
-    return ranked_groups(table(spark, d, "documents"), "source").select(F.col("source").alias("slug"), F.col("rank").cast("long").alias("rank"))
+    return ranked_groups(text_table(spark, d, "documents"), "source").select(F.col("source").alias("slug"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -317,7 +316,7 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, source, CAST(n AS BIGINT) AS n, (SELE
 def _(spark, d):
     from sedgewren.operators.library import top_per_group
 
-    docs = table(spark, d, "documents")
+    docs = text_table(spark, d, "documents")
     latest = docs.groupBy("lang").agg(F.max("doc_id").alias("latest"))
     return top_per_group(docs, "lang", "source", 3).join(F.broadcast(latest), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "source", "n", "latest")
 
@@ -327,7 +326,7 @@ def _(spark, d):
     "SELECT CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT source) AS BIGINT) AS domains, CAST(count(*) FILTER (quality = 1) AS BIGINT) AS ok, CAST(coalesce(sum(n_chars) FILTER (quality = 1), 0) AS BIGINT) AS chars, min(doc_id) AS first, max(doc_id) AS last FROM documents LEFT JOIN labels USING (doc_id)",
 )
 def _(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = text_table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     ok = F.col("quality") == 1
     return rows.agg(F.count("*").alias("entries"), F.count_distinct("source").alias("domains"), F.count_if(ok).alias("ok"), F.coalesce(F.sum(F.when(ok, F.col("n_chars"))), F.lit(0)).alias("chars"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
@@ -338,7 +337,7 @@ def _(spark, d):
 )
 def _(spark, d):
     blank = F.col("text").isNull() | (F.trim("text") == "")
-    return table(spark, d, "documents").agg(F.count_distinct("doc_id").alias("rows"), F.count_distinct(F.lower("source")).alias("authors"), F.count_if(blank).alias("empty_text"), F.count_if(F.col("n_chars") < 100).alias("short"))
+    return text_table(spark, d, "documents").agg(F.count_distinct("doc_id").alias("rows"), F.count_distinct(F.lower("source")).alias("authors"), F.count_if(blank).alias("empty_text"), F.count_if(F.col("n_chars") < 100).alias("short"))
 
 
 @query("index_meta", "SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS link_count, CAST((SELECT count(*) FROM events) AS BIGINT) AS source_count, CAST((SELECT count(*) FROM labels) AS BIGINT) AS crawled_count, CAST(512 AS BIGINT) AS dimensions")
@@ -355,7 +354,7 @@ def _(spark, d):
 
 @query("filter_topic", "SELECT doc_id FROM documents WHERE lang = 'de' OR source = 'src1'")
 def _(spark, d):
-    return table(spark, d, "documents").where(F.array_contains(F.array("lang", "source"), "de") | F.array_contains(F.array("lang", "source"), "src1")).select("doc_id")
+    return text_table(spark, d, "documents").where(F.array_contains(F.array("lang", "source"), "de") | F.array_contains(F.array("lang", "source"), "src1")).select("doc_id")
 
 
 @query("throttle_schedule", f"SELECT page_id, domain, CAST((row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1) * 750 AS BIGINT) AS start_ms FROM (SELECT page_id, {D.host('url')} AS domain FROM pages)")
@@ -419,7 +418,7 @@ def _taxonomy(spark: SparkSession) -> DataFrame:
 def _(spark, d):
     from sedgewren.operators.topics import topic_scores
 
-    return topic_scores(table(spark, d, "documents"), "doc_id", F.col("text"), _taxonomy(spark)).select("doc_id", "slug", "score")
+    return topic_scores(text_table(spark, d, "documents"), "doc_id", F.col("text"), _taxonomy(spark)).select("doc_id", "slug", "score")
 
 
 @query(
@@ -429,7 +428,7 @@ def _(spark, d):
 def _(spark, d):
     from sedgewren.operators.topics import pick_topics, topic_scores
 
-    docs = table(spark, d, "documents")
+    docs = text_table(spark, d, "documents")
     return pick_topics(docs.select("doc_id"), topic_scores(docs, "doc_id", F.col("text"), _taxonomy(spark)))
 
 
@@ -447,7 +446,7 @@ bm AS (SELECT doc_id, sum(factor * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 
 
 def _index(spark: SparkSession, d: str, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents")
+    docs = text_table(spark, d, "documents")
     return K.postings(docs, "doc_id", {"search_text": F.col("text")}, keys), K.lengths(docs, "doc_id", F.col("text"))
 
 
@@ -474,7 +473,7 @@ def _(spark, d):
 
 @query("bm25_phrase", f"{_BM25} SELECT doc_id, {D.rounded('''score * CASE WHEN contains(lower(source), 'thing') THEN 1.6 WHEN contains(lower(text), 'thing') THEN 1.25 ELSE 1.0 END''', 6)} AS score FROM bm JOIN documents USING (doc_id)")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs = text_table(spark, d, "documents").select("doc_id", "source", "text")
     return K.phrase_boost(_bm25(spark, d), docs, " Thing ", F.col("source"), F.col("text")).select("doc_id", r(F.col("score"), 6).alias("score"))
 
 
@@ -525,7 +524,7 @@ b AS (SELECT doc_id, h % 512 AS bucket, CAST(sum(CASE WHEN h >= 2147483648 THEN
 
 @query("local_embed", f"{_FEATURES} SELECT doc_id, bucket, {D.rounded('x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)::DOUBLE)', 6)} AS weight FROM b WHERE x <> 0")
 def _(spark, d):
-    return V.local_embed(table(spark, d, "documents"), "doc_id", F.col("text")).select("doc_id", "bucket", r(F.col("weight"), 6).alias("weight"))
+    return V.local_embed(text_table(spark, d, "documents"), "doc_id", F.col("text")).select("doc_id", "bucket", r(F.col("weight"), 6).alias("weight"))
 
 
 _FUSED = f"""{_BM25}, kw AS (SELECT doc_id, score / max(score) OVER () AS k, row_number() OVER (ORDER BY score DESC, doc_id) AS keyword_rank FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 60)),
@@ -560,21 +559,21 @@ def _(spark, d):
 def _(spark, d):
     from sedgewren.operators.snippets import matched_in
 
-    return table(spark, d, "documents").select("doc_id", matched_in(F.substring("text", 1, 200), F.col("text"), WORDS).alias("matched_in"))
+    return text_table(spark, d, "documents").select("doc_id", matched_in(F.substring("text", 1, 200), F.col("text"), WORDS).alias("matched_in"))
 
 
 @query("highlight_hits", f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''+#.\\-]*'), lambda w: {D.stem('lower(w)')} IN ('thing', 'inoran'))) AS BIGINT) AS hits FROM documents")
 def _(spark, d):
     from sedgewren.operators.snippets import highlight_words
 
-    return table(spark, d, "documents").select("doc_id", F.size(highlight_words(F.col("text"), WORDS)).cast("long").alias("hits"))
+    return text_table(spark, d, "documents").select("doc_id", F.size(highlight_words(F.col("text"), WORDS)).cast("long").alias("hits"))
 
 
 @query("snippet")
 def _(spark, d):
     from sedgewren.operators.snippets import snippets
 
-    return snippets(table(spark, d, "documents"), "doc_id", "text", WORDS, 240)
+    return snippets(text_table(spark, d, "documents"), "doc_id", "text", WORDS, 240)
 
 
 # --- records, parts and entries
@@ -584,17 +583,19 @@ _TRIM = "regexp_replace({}, '^[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{200
 
 
 def _posts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as records of a nested export: pos, record."""
+    """Documents as records of a nested export, and each once more, later, in a flat form: pos, record."""
     author = F.struct(F.col("lang").alias("name"), F.concat(F.lit("@"), "source").alias("screen_name"))
     body = F.struct(F.col("text").alias("full_text"), F.lit("Wed Oct 10 20:19:24 +0000 2018").alias("created_at"))
-    record = F.to_json(F.struct((F.col("doc_id") % 500).alias("rest_id"), author.alias("core"), body.alias("legacy")))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.try_parse_json(record).alias("record"))
+    record = F.to_json(F.struct(F.col("doc_id").alias("rest_id"), author.alias("core"), body.alias("legacy")))
+    rows = text_table(spark, d, "documents").select("doc_id", F.try_parse_json(record).alias("record"))
+    again = table(spark, d, "documents").select(F.col("doc_id") + (1 << 40), F.try_parse_json(F.to_json(F.struct(F.col("doc_id").alias("id"), F.lit("saved again").alias("text")))))
+    return rows.unionAll(again).withColumnRenamed("doc_id", "pos")
 
 
 @query(
     "normalize_records",
-    f"""SELECT CAST(doc_id % 500 AS VARCHAR) AS id, coalesce({_TRIM.format('text')}, '') AS text, coalesce(nullif({_TRIM.format('lang')}, ''), '@' || source, 'unknown') AS author_name, coalesce(source, 'unknown') AS author_handle,
-'https://x.com/' || coalesce(source, 'unknown') || '/status/' || (doc_id % 500) AS url, 1539202764 AS created FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id) = 1""",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS id, coalesce({_TRIM.format('text')}, '') AS text, coalesce(nullif({_TRIM.format('lang')}, ''), '@' || source, 'unknown') AS author_name, coalesce(source, 'unknown') AS author_handle,
+'https://x.com/' || coalesce(source, 'unknown') || '/status/' || doc_id AS url, 1539202764 AS created FROM documents""",
 )
 def _(spark, d):
     from sedgewren.sources.records import normalise
@@ -606,7 +607,7 @@ def _(spark, d):
 def _(spark, d):
     from sedgewren.sources.exports import first_of_each
 
-    rows = table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash"), (F.col("doc_id") % 5).cast("int").alias("part"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    rows = text_table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash"), (F.col("doc_id") % 5).cast("int").alias("part"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
     keyed = rows.withColumn("key", F.when(F.col("n") > 0, F.col("hash")))
     return first_of_each(keyed, "key", ["part", "doc_id"]).select("doc_id", "part")
 
@@ -675,7 +676,7 @@ def _(spark, d):
 def _(spark, d):
     from sedgewren.operators.choices import detail_label
 
-    return table(spark, d, "documents").select("doc_id", detail_label(F.col("lang"), F.col("source")).alias("label"))
+    return text_table(spark, d, "documents").select("doc_id", detail_label(F.col("lang"), F.col("source")).alias("label"))
 
 
 @query(
@@ -687,7 +688,7 @@ def _(spark, d):
 
     proposed = F.array(F.lit("unknown"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, "misc").otherwise("odd"))
     topics = arbitrate(proposed, F.array(F.lit("picked")), F.array(*map(F.lit, ("en", "de", "misc"))))
-    return table(spark, d, "documents").select("doc_id", F.array_join(topics, ",").alias("topics"))
+    return text_table(spark, d, "documents").select("doc_id", F.array_join(topics, ",").alias("topics"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

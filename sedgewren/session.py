@@ -105,3 +105,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes a core that are worth dealing out before text is analysed.
+DEALT_BYTES = 16 << 20
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are to be analysed: dealt to all cores if it is so small that its files, read as they lie, would
+    keep few of them busy. Larger tables are read in their own splits, without a shuffle."""
+    found, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found.repartition(cores) if size < cores * DEALT_BYTES else found
