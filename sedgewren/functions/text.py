@@ -70,7 +70,9 @@ def stem(w: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    return F.transform(tokenize(text), stem)
+    """The stems of a text's tokens, in two steps, as an expression that repeats the first one would be evaluated anew for
+    each of the second's conditions."""
+    return F.transform(F.transform(tokenize(text), singular), unverbed)
 
 
 def prefix_key(term: Column) -> Column:

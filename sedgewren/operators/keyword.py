@@ -9,12 +9,17 @@ from sedgewren.functions.text import prefix_key, terms, tokenize
 
 #: Fixed values of the ranking.
 K1, B, PREFIX_FACTOR = 1.4, 0.75, 0.35
+#: Queries of more characters than this may be boosted, where a headline or only the text holds them.
+BOOST_OVER, MOST_BOOST, TEXT_BOOST = 4, 1.6, 1.25
+#: Decimals of a score: sums that come in another order, as after a lost executor, give the same ranks.
+PLACES = 9
 #: Hundredths of a field's weight, and of its prefix keys.
 FIELD_WEIGHTS = {"search_text": (100, 35), "title": (340, 119), "description": (240, 84), "domain": (220, 77), "topics": (200, 70)}
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], keys: DataFrame | None = None) -> DataFrame:
-    """doc_id, term, tf (hundredths): one generator over all fields, one shuffle for the sum.
+def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], keys: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry (of a document), term, tf (hundredths): one generator over all fields, one shuffle for
+    the sum.
 
     With keys (a query's handful, broadcast) only their postings are made, and no others are shuffled."""
 
@@ -23,16 +28,21 @@ def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], keys: Data
         return F.transform(terms(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("t"), whole.alias("w"), prefix.alias("p")))
 
     parts = [weighted(name, c) for name, c in fields.items()]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.concat(*parts)).alias("x")).select("doc_id", "x.t", "x.w", "x.p")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *carry, F.explode(F.concat(*parts)).alias("x")).select("doc_id", *carry, "x.t", "x.w", "x.p")
     both = F.array_compact(F.array(F.struct(F.col("t").alias("term"), F.col("w").alias("w")), F.when(prefix_key(F.col("t")).isNotNull(), F.struct(prefix_key(F.col("t")).alias("term"), F.col("p").alias("w")))))
-    found = rows.select("doc_id", F.explode(both).alias("y")).select("doc_id", "y.term", "y.w")
+    found = rows.select("doc_id", *carry, F.explode(both).alias("y")).select("doc_id", *carry, "y.term", "y.w")
     if keys is not None:
         found = found.join(F.broadcast(keys.select(F.col("key").alias("term")).distinct()), "term", "left_semi")
-    return found.groupBy("doc_id", "term").agg(F.sum("w").alias("tf"))
+    return found.groupBy("doc_id", *carry, "term").agg(F.sum("w").alias("tf"))
+
+
+def length(search_text: Column) -> Column:
+    """Tokens of a text, at least one."""
+    return F.greatest(F.size(tokenize(F.coalesce(search_text, F.lit("")))), F.lit(1)).cast("long")
 
 
 def lengths(docs: DataFrame, id_col: str, search_text: Column) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.size(tokenize(F.coalesce(search_text, F.lit("")))), F.lit(1)).cast("long").alias("len"))
+    return docs.select(F.col(id_col).alias("doc_id"), length(search_text).alias("len"))
 
 
 def query_keys(spark: SparkSession, words: list[str]) -> DataFrame:
@@ -43,22 +53,31 @@ def query_keys(spark: SparkSession, words: list[str]) -> DataFrame:
     return whole.unionAll(found.select(prefix_key(F.col("term")).alias("key"), F.lit(PREFIX_FACTOR).alias("factor")).where("key is not null"))
 
 
+def scored(hits: DataFrame, keys: DataFrame, stats: DataFrame) -> DataFrame:
+    """doc_id, score from the postings of a query's keys (doc_id, term, tf, len) and one row of statistics (n, avg_len).
+
+    Keys and their counts are a handful of rows and broadcast. A key that two terms share counts twice."""
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") / F.lit(100.0)
+    part = F.col("factor") * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    weighted = F.broadcast(keys.select(F.col("key").alias("term"), "factor"))
+    rows = hits.join(weighted, "term").join(F.broadcast(df), "term").crossJoin(F.broadcast(stats.select("n", "avg_len")))
+    return rows.groupBy("doc_id").agg(F.round(F.sum(part), PLACES).alias("score"))
+
+
 def bm25(index: DataFrame, sizes: DataFrame, keys: DataFrame) -> DataFrame:
-    """doc_id, score. Query keys are a handful of rows and broadcast; statistics cover the whole collection."""
-    hits = index.join(F.broadcast(keys), index["term"] == keys["key"]).select("doc_id", "term", "factor", (F.col("tf") / F.lit(100.0)).alias("tf"))
-    df = hits.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    """doc_id, score from postings and lengths that lie apart; statistics cover the whole collection."""
+    hits = index.join(F.broadcast(keys.select(F.col("key").alias("term")).distinct()), "term", "left_semi")
     stats = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("factor") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    rows = hits.join(F.broadcast(df), "term").join(sizes, "doc_id").join(F.broadcast(stats))
-    return rows.groupBy("doc_id").agg(F.sum(part).alias("score"))
+    return scored(hits.join(sizes, "doc_id"), keys, stats)
 
 
 def phrase_boost(scored: DataFrame, docs: DataFrame, query: str, headline: Column, search_text: Column) -> DataFrame:
     """Scores times 1.6 where the headline holds the query, 1.25 where only the text does; queries of over 4 characters."""
     q = query.strip().lower()
-    if len(q) <= 4:
+    if len(q) <= BOOST_OVER:
         return scored
     texts = docs.select("doc_id", F.lower(headline).alias("_h"), F.lower(search_text).alias("_t"))
-    factor = F.when(F.contains("_h", F.lit(q)), 1.6).when(F.contains("_t", F.lit(q)), 1.25).otherwise(1.0)
+    factor = F.when(F.contains("_h", F.lit(q)), MOST_BOOST).when(F.contains("_t", F.lit(q)), TEXT_BOOST).otherwise(1.0)
     return scored.join(texts, "doc_id").select("doc_id", (F.col("score") * factor).alias("score"))

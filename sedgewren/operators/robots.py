@@ -76,8 +76,26 @@ def polite_gap(gap_ms: int, delay_ms: Column, longest: int = LONGEST_GAP_MS) ->
     return F.least(F.greatest(F.lit(gap_ms).cast("long"), F.coalesce(delay_ms, F.lit(0).cast("long"))), F.lit(longest).cast("long"))
 
 
+#: Ids a part of a host's queue spans.
+PART_IDS = 1 << 16
+
+
 def schedule(rows: DataFrame, host: str, order: str, gap_ms: int | Column) -> DataFrame:
-    """Earliest starts with a gap between fetches of one host."""
-    at = F.row_number().over(Window.partitionBy(host).orderBy(order)) - 1
+    """Earliest starts with a gap between fetches of one host, in the order of whole-number ids; null ids come first.
+
+    A host may hold most rows: its queue is cut into parts by id, each part is ranked by itself, and begins after the rows
+    of the parts before it, which are counted first."""
+    part = F.coalesce(F.floor(F.col(order) / PART_IDS), F.lit(-(1 << 62))).cast("long")
     gap = gap_ms if isinstance(gap_ms, Column) else F.lit(gap_ms)
-    return rows.select(order, host, (at * gap).cast("long").alias("start_ms"))
+    cut = rows.withColumns({"_host": F.coalesce(F.col(host), F.lit("")), "_part": part, "_gap": gap})
+    counts = cut.groupBy("_host", "_part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("_host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("_host", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_begin"))
+    within = F.row_number().over(Window.partitionBy("_host", "_part").orderBy(order)) - 1
+    return cut.withColumn("_at", within).join(begins, ["_host", "_part"]).select(order, host, ((F.col("_begin") + F.col("_at")) * F.col("_gap")).cast("long").alias("start_ms"))
+
+
+def unread_title(url: Column) -> Column:
+    """What a page that isn't text is called: the last segment of its path, null without one."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    return F.try_element_at(F.filter(F.split(path, "/"), lambda s: s != ""), F.lit(-1))

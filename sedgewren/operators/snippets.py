@@ -5,27 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgewren.functions.text import collapse_ws, stem, terms, tokenize, truncate
+from sedgewren.functions.text import collapse_ws, stem, terms, truncate
 
 
-def matched_in(title: Column, excerpt: Column, query_terms: list[str]) -> Column:
-    """title, excerpt or semantic, by the number of query terms; the title wins ties."""
-    hits = lambda c: F.size(F.filter(terms(c), lambda t: t.isin(*query_terms)))
-    h, e = hits(title), hits(excerpt)
-    return F.when((h == 0) & (e == 0), "semantic").when(e > h, "excerpt").otherwise("title")
+def hits(text: Column, query_terms: list[str]) -> Column:
+    """How many terms of a text, repeats counted, are terms of the query."""
+    return F.size(F.filter(terms(F.coalesce(text, F.lit(""))), lambda t: t.isin(query_terms)))
+
+
+def topic_hit(topics: Column, query_terms: list[str]) -> Column:
+    """Whether the first word of a topic is a term of the query."""
+    return F.exists(F.coalesce(topics, F.array().cast("array<string>")), lambda t: F.split_part(t, F.lit("-"), F.lit(1)).isin(query_terms))
+
+
+def best_evidence(title: Column, description: Column, excerpt: Column, topics: Column, query_terms: list[str]) -> dict[str, Column]:
+    """evidence and matched_in: the title and description, or the page's excerpt if it holds more of the query's terms.
+    Without any hit, a topic or the meaning matched, and the description speaks for the entry."""
+    full = lambda c: F.nullif(c, F.lit(""))
+    head = F.concat_ws(" — ", full(title), full(description))
+    h, e = hits(head, query_terms), hits(excerpt, query_terms)
+    where = F.when(F.greatest(h, e) > 0, F.when(e > h, "page").otherwise("title")).when(topic_hit(topics, query_terms), "topic").otherwise("semantic")
+    text = F.when(F.greatest(h, e) == 0, F.coalesce(full(description), full(excerpt), title)).when(e > h, excerpt).otherwise(head)
+    return {"evidence": F.coalesce(text, F.lit("")), "matched_in": where}
 
 
 def highlight_words(text: Column, query_terms: list[str]) -> Column:
     """The words of a text whose stem is a query term."""
     found = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'+#.\-]*)"), F.lit(1))
-    return F.filter(found, lambda w: stem(F.lower(w)).isin(*query_terms))
+    return F.filter(found, lambda w: stem(F.lower(w)).isin(query_terms))
+
+
+#: Marks in texts that are cut into runs: what the texts hold of the mark itself is written as MARK0.
+MARK = "\ufdd0"
+
+
+def highlight_runs(text: Column, query_terms: list[str]) -> Column:
+    """The text as runs (text, match) in its order: a word matches if its stem is a query term, and all between two matching
+    words is one run. Joined, the runs are the text. An empty or null text has none."""
+    whole = F.coalesce(text, F.lit(""))
+    run = lambda t, m: F.struct(t.alias("text"), m.alias("match"))
+    if not query_terms:
+        return F.filter(F.array(run(whole, F.lit(False))), lambda r: r["text"] != "")
+    pieces = F.regexp_extract_all(whole, F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'+#.\-]*|[^\p{L}\p{N}]+)"), F.lit(1))
+    hit = lambda w: F.coalesce(stem(F.lower(w)).isin(query_terms), F.lit(False))
+    marked = F.transform(pieces, lambda w: F.when(hit(w), F.concat(F.lit(MARK + "1"), w, F.lit(MARK + "2"))).otherwise(F.replace(w, F.lit(MARK), F.lit(MARK + "0"))))
+    cut = F.filter(F.split(F.array_join(marked, ""), f"(?={MARK}1)|(?<={MARK}2)"), lambda x: x != "")
+
+    def plain(x: Column) -> Column:
+        for mark, stands_for in (("1", ""), ("2", ""), ("0", MARK)):
+            x = F.replace(x, F.lit(MARK + mark), F.lit(stands_for))
+        return x
+
+    return F.transform(cut, lambda x: run(plain(x), F.startswith(x, F.lit(MARK + "1"))))
 
 
-def snippets(docs: DataFrame, id_col: str, text_col: str, query_terms: list[str], size: int = 240) -> DataFrame:
-    """doc_id, snippet: the first window of words, among every third, with most hits; the text's head without a hit."""
+def snippets(docs: DataFrame, id_col: str, text_col: str, query_terms: list[str], size: int = 240, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, snippet and the columns to keep: the first window of words, among every third, with most hits; the text's head without a hit."""
     width = max(12, int(size / 6 + 0.5))
-    rows = docs.select(F.col(id_col).alias("doc_id"), collapse_ws(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).withColumn("words", F.split("t", " "))
-    full = lambda w: F.when(F.coalesce(stem(F.get(tokenize(w), F.lit(0))).isin(*query_terms), F.lit(False)), 1).otherwise(0)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, collapse_ws(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).withColumn("words", F.split("t", " "))
+    full = lambda w: F.when(F.coalesce(F.get(terms(w), F.lit(0)).isin(query_terms), F.lit(False)), 1).otherwise(0)
 
     def hit(w: Column) -> Column:
         """Stems keep all but a word's end, so a word that holds no term's beginning needs no analysis."""
@@ -43,4 +81,4 @@ def snippets(docs: DataFrame, id_col: str, text_col: str, query_terms: list[str]
     begin = -F.col("best.at")
     piece = truncate(F.array_join(F.slice("words", begin + 1, F.lit(width)), " "), size)
     framed = F.concat(F.when(begin > 0, "…").otherwise(""), piece, F.when(begin + width < F.size("words"), "…").otherwise(""))
-    return rows.select("doc_id", F.when(F.col("best.score") > 0, F.regexp_replace(framed, "……", "…")).otherwise(truncate(F.col("t"), size)).alias("snippet"))
+    return rows.select("doc_id", *keep, F.when(F.col("best.score") > 0, F.regexp_replace(framed, "……", "…")).otherwise(truncate(F.col("t"), size)).alias("snippet"))

@@ -60,3 +60,10 @@ def topic_counts(entries: DataFrame, slugs: DataFrame) -> DataFrame:
     counts = entries.select(F.explode("topics").alias("slug")).groupBy("slug").agg(F.count("*").alias("n"))
     found = slugs.join(counts, "slug", "left").select("slug", F.coalesce("n", F.lit(0)).alias("n"))
     return found.where((F.col("n") > 0) | (F.col("slug") == "misc"))
+
+
+def topic_label(slug: Column, labels: dict[str, str]) -> Column:
+    """The name a topic is shown with; slugs without one are shown as they are."""
+    if not labels:
+        return slug
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), slug), slug)

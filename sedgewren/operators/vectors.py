@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgewren.functions.text import fnv1a, terms
 
 DIMENSIONS = 512
+#: Vectors a block of the exact comparison, and rows of it that are scored at once.
+BLOCK_ROWS, SLICE_ROWS = 4096, 512
 
 
 def local_embed(docs: DataFrame, id_col: str, text: Column, dims: int = DIMENSIONS) -> DataFrame:
@@ -47,9 +51,12 @@ def knn(rows: DataFrame, query: list[float], k: int, id_col: str, vector: str, e
     return rows.select(F.col(id_col), score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def related(rows: DataFrame, id_col: str, vector: str, k: int = 6, least: float = 0.02, blocks: int = 8) -> DataFrame:
-    """Each row's k nearest others: every pair of blocks meets once in a task, which keeps only k a row, so at most
-    blocks * k candidates a row are shuffled."""
+def related(rows: DataFrame, id_col: str, vector: str, k: int = 6, least: float = 0.02, blocks: int | None = None) -> DataFrame:
+    """Each row's k nearest others, exactly: every pair of blocks meets once in a task, which keeps only k a row, so at most
+    blocks * k candidates a row are shuffled. All pairs are compared, which is quadratic; blocks grow in number, not in
+    size, so a task holds about two of BLOCK_ROWS vectors and the scores of SLICE_ROWS rows."""
+    if blocks is None:
+        blocks = max(math.ceil(rows.count() / BLOCK_ROWS), math.ceil(math.sqrt(rows.sparkSession.sparkContext.defaultParallelism)))
     import numpy as np
     import pandas as pd
 
@@ -63,13 +70,18 @@ def related(rows: DataFrame, id_col: str, vector: str, k: int = 6, least: float
         if q.empty or d.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "score": []})
         unit = lambda x: (m := np.stack(x).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        scores = unit(q.v) @ unit(d.v).T
-        ids, own = d.id.to_numpy(), q.id.to_numpy()
-        scores[own[:, None] == ids[None, :]] = -9
-        out = []
-        for r in range(len(own)):
-            best = np.lexsort((ids, -scores[r]))[:k]
-            out += [(own[r], ids[c], scores[r, c]) for c in best if scores[r, c] > least]
+        ids, own, to, out = d.id.to_numpy(), q.id.to_numpy(), unit(d.v).T, []
+        of = unit(q.v)
+        for at in range(0, len(own), SLICE_ROWS):
+            mine = own[at : at + SLICE_ROWS]
+            scores = of[at : at + SLICE_ROWS] @ to
+            scores[mine[:, None] == ids[None, :]] = -9
+            last = min(k, len(ids)) - 1
+            edge = -np.partition(-scores, last, axis=1)[:, last]
+            for r in range(len(mine)):
+                near = np.flatnonzero(scores[r] >= max(edge[r], least))  # ties with the last are told apart by id
+                best = near[np.lexsort((ids[near], -scores[r][near]))[:k]]
+                out += [(mine[r], ids[c], scores[r, c]) for c in best if scores[r, c] > least]
         return pd.DataFrame(out, columns=["id", "neighbour", "score"])
 
     met = keyed_q.unionAll(keyed_d).groupBy("i", "j").applyInPandas(meet, "id long, neighbour long, score double")

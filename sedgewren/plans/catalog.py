@@ -11,16 +11,15 @@ from pyspark.sql import functions as F
 
 from sedgewren.functions import text as T
 from sedgewren.functions import urls as U
-from sedgewren.operators import keyword as K
 from sedgewren.operators import vectors as V
 from sedgewren.plans import duck as D
-from sedgewren.session import table, text_table
+from sedgewren.session import files_digest, shared_dir, table, text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Terms that the ranking queries look for.
-WORDS = ["thing", "inoran"]
+WORDS = ["thing", "inoran", "orantion"]
 #: A small taxonomy for the topic queries: slug, place, keyword, weight. Real ones are passed in as tables.
 TAXONOMY = [("alpha", 0, "thing", 3), ("alpha", 0, "onhean", 2), ("beta", 1, "inoran", 3), ("beta", 1, "thion", 2), ("gamma", 2, "nicht", 4), ("gamma", 2, "der", 1), ("delta", 3, "que", 2), ("delta", 3, "des", 1)]
 
@@ -259,6 +258,26 @@ def _(spark, d):
     return chase(pages, "page_id", links, 4)
 
 
+@query(
+    "resolve_links",
+    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'p' || page_id || '/1' WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 'p' || page_id || '/4' END AS url,
+CASE page_id % 6 WHEN 0 THEN 'error' WHEN 1 THEN 'dead' WHEN 2 THEN 'resolved' WHEN 3 THEN 'loop' WHEN 4 THEN 'error' ELSE 'resolved' END AS status FROM pages""",
+)
+def _(spark, d):
+    from sedgewren.operators.library import resolve_links
+
+    k = F.col("page_id") % 6
+    at = lambda n: F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(f"/{n}"))
+    none = F.lit(None).cast("string")
+    answer = lambda n, to, status, error=none: F.struct(at(n).alias("url"), to.alias("location"), F.lit(status).cast("int").alias("http_status"), error.alias("error"))
+    chain = F.array(*[answer(n, at(n + 1), 302) for n in range(5)])
+    made = F.when(k == 0, F.array(answer(0, none, 200))).when(k == 1, F.array(answer(0, none, 410))).when(k == 2, F.array(answer(0, at(1), 301), answer(1, none, 404)))
+    made = made.when(k == 3, F.array(answer(0, at(1), 301), answer(1, at(0), 301))).when(k == 4, F.array(answer(0, none, None, F.lit("refused")))).otherwise(chain)
+    pages = table(spark, d, "pages").select("page_id")
+    found = resolve_links(pages.select(at(0).alias("short")), "short", pages.select(F.inline(made)))
+    return found.select(F.regexp_extract("short", r"p(\d+)/", 1).cast("long").alias("page_id"), "url", "status")
+
+
 @query("related_lookup", "SELECT a.vec_id, CAST(k AS BIGINT) AS pos, b.label FROM (SELECT vec_id, unnest([1, 2, 3, 4]) AS k FROM embeddings) a JOIN embeddings b ON b.vec_id = a.vec_id + a.k")
 def _(spark, d):
     rows = table(spark, d, "embeddings")
@@ -281,11 +300,16 @@ def _(spark, d):
     return pages.select(U.canonical_url(F.col("url")).alias("url")).union(pages.select(F.concat(F.lit("https://resolved.example/"), (F.col("page_id") % 10).cast("string")))).distinct()
 
 
-@query("sitemap_feed", f"SELECT '/' AS path, 1.0::DOUBLE AS priority UNION ALL SELECT '/topics', 0.8 UNION ALL SELECT DISTINCT '/topics/' || lang, 0.7 FROM documents UNION ALL SELECT '/s/' || left(sha1({D.canonical('url')}), 16), 0.5 FROM pages")
+@query(
+    "sitemap_feed",
+    f"""SELECT * FROM (VALUES ('/', TIMESTAMP '2024-01-01', 1.0::DOUBLE), ('/topics', TIMESTAMP '2024-01-01', 0.8)) v(path, last_modified, priority)
+UNION ALL SELECT DISTINCT '/topics/' || lang, TIMESTAMP '2024-01-01', 0.7 FROM documents WHERE lang IS NOT NULL UNION ALL SELECT '/s/' || left(sha1({D.canonical('url')}), 16), make_timestamp(page_id * 1000000), 0.5 FROM pages""",
+)
 def _(spark, d):
     from sedgewren.operators.library import sitemap
 
-    return sitemap(text_table(spark, d, "documents").select("lang").distinct(), "lang", table(spark, d, "pages").select(U.url_key(U.canonical_url(F.col("url"))).alias("key")), "key")
+    entries = table(spark, d, "pages").select(U.url_key(U.canonical_url(F.col("url"))).alias("key"), F.timestamp_seconds("page_id").cast("timestamp_ntz").alias("saved_at"))
+    return sitemap(table(spark, d, "documents").select("lang").where("lang is not null").distinct(), "lang", entries, "key", "saved_at", F.lit("2024-01-01").cast("timestamp_ntz"))
 
 
 @query("status_rollup", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
@@ -331,13 +355,39 @@ def _(spark, d):
     return rows.agg(F.count("*").alias("entries"), F.count_distinct("source").alias("domains"), F.count_if(ok).alias("ok"), F.coalesce(F.sum(F.when(ok, F.col("n_chars"))), F.lit(0)).alias("chars"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
-@query(
-    "quality_report",
-    "SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS rows, CAST(count(DISTINCT lower(source)) AS BIGINT) AS authors, CAST(count(*) FILTER (trim(text) = '' OR text IS NULL) AS BIGINT) AS empty_text, CAST(count(*) FILTER (n_chars < 100) AS BIGINT) AS short FROM documents",
-)
+_SAVED = f"""SELECT page_id, page_id % 4 AS k, {D.canonical('url')} AS url FROM pages"""
+_REPORT = f"""SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT CASE WHEN page_id % 3 = 0 THEN 'unknown' ELSE 'a' || page_id % 7 END) AS BIGINT) AS authors, CAST(count(*) FILTER (page_id % 5 = 0) AS BIGINT) AS undated,
+CAST(count(*) FILTER (page_id % 3 = 0) AS BIGINT) AS unknown_authors, CAST(count(*) FILTER (k = 0) AS BIGINT) AS empty_text, CAST(count(*) FILTER (k = 1) AS BIGINT) AS short_only, CAST(count(*) FILTER (k IN (0, 2)) AS BIGINT) AS no_links,
+CAST(count(DISTINCT url) FILTER (k = 3) AS BIGINT) AS links, CAST(count(DISTINCT {D.host('url')}) FILTER (k = 3) AS BIGINT) AS domains, CAST(count(*) FILTER (k = 1) AS BIGINT) AS short_links, CAST(0 AS BIGINT) AS rejected FROM ({_SAVED})"""
+
+
+def _saved_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as saved posts: without text, with a short link, without a link, or with the page's address; some of them
+    without an author or a date."""
+    from sedgewren.sources.records import normalise
+
+    k, key = F.col("page_id") % 4, F.col("page_id").cast("string")
+    text = F.when(k == 1, F.concat(F.lit("see https://t.co/x"), key)).when(k == 2, "a note").when(k == 3, F.concat(F.lit("seen at "), "url")).otherwise("")
+    author = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("A"), (F.col("page_id") % 7).cast("string")))
+    made = F.struct(key.alias("id"), text.alias("text"), author.alias("author_handle"), F.when(F.col("page_id") % 5 > 0, "2024-05-06T07:08:09Z").alias("created_at"))
+    return normalise(table(spark, d, "pages").select("page_id", F.try_parse_json(F.to_json(made)).alias("record")), "record", "page_id")
+
+
+@query("quality_report", _REPORT)
+def _(spark, d):
+    from sedgewren.sources.records import quality_report
+
+    return quality_report(_saved_pages(spark, d))
+
+
+_KINDS = "(VALUES ('unknown_authors', unknown_authors), ('undated', undated), ('empty_text', empty_text), ('short_only', short_only)) v(kind, n)"
+
+
+@query("report_warnings", f"SELECT kind, n, CAST(floor(100.0 * n / records + 0.5) AS BIGINT) AS percent FROM ({_REPORT}) r, {_KINDS} WHERE n > 0")
 def _(spark, d):
-    blank = F.col("text").isNull() | (F.trim("text") == "")
-    return text_table(spark, d, "documents").agg(F.count_distinct("doc_id").alias("rows"), F.count_distinct(F.lower("source")).alias("authors"), F.count_if(blank).alias("empty_text"), F.count_if(F.col("n_chars") < 100).alias("short"))
+    from sedgewren.sources.records import quality_report, report_warnings
+
+    return report_warnings(quality_report(_saved_pages(spark, d))).select("kind", "n", "percent")
 
 
 @query("index_meta", "SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS link_count, CAST((SELECT count(*) FROM events) AS BIGINT) AS source_count, CAST((SELECT count(*) FROM labels) AS BIGINT) AS crawled_count, CAST(512 AS BIGINT) AS dimensions")
@@ -432,49 +482,83 @@ def _(spark, d):
     return pick_topics(docs.select("doc_id"), topic_scores(docs, "doc_id", F.col("text"), _taxonomy(spark)))
 
 
-# --- ranking
+# --- ranking: the library's entries are made from the documents, and all queries read one stored index of them
+
 
+_ENTRIES = f"""lib AS (SELECT *, concat_ws(chr(10), nullif(title, ''), nullif(description, ''), nullif(site_name, ''), nullif(domain, ''), nullif(text, ''), nullif(lang, '')) AS search_text FROM
+  (SELECT doc_id, left(text, 60) AS title, substr(text, 61, 140) AS description, source || '.example.org' AS domain, source AS site_name, lang, text, {D.truncated('text', 2400)} AS excerpt FROM documents))"""
+_FIELDS = " UNION ALL ".join(f"SELECT doc_id, unnest({D.terms(x)}) AS term, {w} AS w, {p} AS p FROM lib" for x, w, p in (("search_text", 100, 35), ("title", 340, 119), ("description", 240, 84), ("replace(domain, '.', ' ')", 220, 77), ("replace(lang, '-', ' ')", 200, 70)))
+_POSTINGS = f"""WITH {_ENTRIES}, t AS ({_FIELDS}),
+post AS (SELECT doc_id, term, CAST(sum(w) AS BIGINT) AS tf FROM (SELECT doc_id, term, w FROM t UNION ALL SELECT doc_id, '~' || left(term, 6), p FROM t WHERE length(term) > 6) GROUP BY ALL),
+len AS (SELECT doc_id, CAST(greatest(len({D.tokens('search_text')}), 1) AS BIGINT) AS len FROM lib)"""
 
-_POSTINGS = f"""WITH t AS (SELECT doc_id, unnest({D.terms('text')}) AS term FROM documents),
-post AS (SELECT doc_id, term, CAST(sum(w) AS BIGINT) AS tf FROM (SELECT doc_id, term, 100 AS w FROM t UNION ALL SELECT doc_id, '~' || left(term, 6), 35 FROM t WHERE length(term) > 6) GROUP BY ALL),
-len AS (SELECT doc_id, CAST(greatest(len({D.tokens('text')}), 1) AS BIGINT) AS len FROM documents)"""
-_KEYS = "keys(key, factor) AS (VALUES ('thing', 1.0::DOUBLE), ('inoran', 1.0))"
-_BM25 = f"""{_POSTINGS}, {_KEYS},
+
+def _ranked(keys: str) -> str:
+    return f"""{_POSTINGS}, keys(key, factor) AS (VALUES {keys}),
 hit AS (SELECT doc_id, term, factor, tf / 100.0::DOUBLE AS tf FROM post JOIN keys ON term = key),
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM hit GROUP BY term), st AS (SELECT count(*) AS n, avg(len) AS al FROM len),
-bm AS (SELECT doc_id, sum(factor * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / al))) AS score FROM hit JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY doc_id)"""
+bm AS (SELECT doc_id, round(sum(factor * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / al))), 9) AS score FROM hit JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY doc_id)"""
+
+
+_BM25 = _ranked("('thing', 1.0::DOUBLE), ('inoran', 1.0), ('orantion', 1.0), ('~oranti', 0.35)")
 
 
-def _index(spark: SparkSession, d: str, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    from sedgewren.operators.search import full_text
+
     docs = text_table(spark, d, "documents")
-    return K.postings(docs, "doc_id", {"search_text": F.col("text")}, keys), K.lengths(docs, "doc_id", F.col("text"))
+    topics = F.when(F.col("lang").isNotNull(), F.array("lang")).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(
+        "doc_id", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 140).alias("description"),
+        F.concat("source", F.lit(".example.org")).alias("domain"), F.col("source").alias("site_name"), topics.alias("topics"), T.truncate(F.col("text"), 2400).alias("excerpt"), "text", F.timestamp_seconds("doc_id").alias("saved_at"),
+    )
+    return rows.withColumn("search_text", full_text(*map(F.col, ("title", "description", "site_name", "domain", "text", "topics"))))
+
+
+def _library(spark: SparkSession, d: str):
+    """The stored index of a folder's documents, written by the first query that needs it; other documents (by their files'
+    names, lengths and times) have another index."""
+    from sedgewren.operators import search as S
+
+    folder = f"{shared_dir(spark)}/sedgewren/index-{files_digest(spark, f'{d}/documents.parquet')}"
+    if not S.complete(spark, folder):
+        S.write_search_index(_entries(spark, d), folder)
+    return S.open_search_index(spark, folder)
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    keys = K.query_keys(spark, WORDS)
-    return K.bm25(*_index(spark, d, keys), keys)
+    from sedgewren.operators.search import keyword_scores
+
+    return keyword_scores(_library(spark, d), WORDS)
 
 
 @query("postings", f"{_POSTINGS} SELECT doc_id, term, tf FROM post")
 def _(spark, d):
-    return _index(spark, d)[0]
+    return _library(spark, d).postings.select("doc_id", "term", "tf")
 
 
 @query("corpus_stats", f"{_POSTINGS} SELECT CAST(count(*) AS BIGINT) AS n, {D.rounded('avg(len)', 4)} AS avg_len, CAST((SELECT count(DISTINCT term) FROM post) AS BIGINT) AS keys FROM len")
 def _(spark, d):
-    index, sizes = _index(spark, d)
-    return sizes.agg(F.count("*").alias("n"), r(F.avg("len"), 4).alias("avg_len")).crossJoin(index.agg(F.count_distinct("term").alias("keys")))
+    index = _library(spark, d)
+    return index.facts.select("n", r(F.col("avg_len"), 4).alias("avg_len")).crossJoin(index.postings.agg(F.count_distinct("term").alias("keys")))
 
 
-@query("bm25_topk", f"{_BM25} SELECT doc_id, {D.rounded('score', 6)} AS score FROM bm ORDER BY score DESC, doc_id LIMIT 60")
+@query("bm25_topk", f"{_BM25} SELECT doc_id, {D.rounded('score', 6)} AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 60")
 def _(spark, d):
-    return _bm25(spark, d).select("doc_id", r(F.col("score"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(60)
+    return _bm25(spark, d).orderBy(F.desc("score"), "doc_id").limit(60).select("doc_id", r(F.col("score"), 6).alias("score"))
+
+
+_HEADLINE = "lower(concat_ws(' ', title, description, domain, site_name))"
 
 
-@query("bm25_phrase", f"{_BM25} SELECT doc_id, {D.rounded('''score * CASE WHEN contains(lower(source), 'thing') THEN 1.6 WHEN contains(lower(text), 'thing') THEN 1.25 ELSE 1.0 END''', 6)} AS score FROM bm JOIN documents USING (doc_id)")
+_PHRASE = f"score * CASE WHEN contains({_HEADLINE}, 'thing') THEN 1.6 WHEN contains(lower(search_text), 'thing') THEN 1.25 ELSE 1.0 END"
+
+
+@query("bm25_phrase", f"{_BM25} SELECT doc_id, {D.rounded(_PHRASE, 6)} AS score FROM bm JOIN lib USING (doc_id)")
 def _(spark, d):
-    docs = text_table(spark, d, "documents").select("doc_id", "source", "text")
-    return K.phrase_boost(_bm25(spark, d), docs, " Thing ", F.col("source"), F.col("text")).select("doc_id", r(F.col("score"), 6).alias("score"))
+    from sedgewren.operators.search import boosted
+
+    return boosted(_library(spark, d), _bm25(spark, d), " Thing ").select("doc_id", r(F.col("score"), 6).alias("score"))
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -515,14 +599,17 @@ def _(spark, d):
     return rows.select("vec_id", (F.col("p") + 1).cast("long").alias("pos"), r(F.col("x").cast("double"), 5).alias("x"))
 
 
-_FEATURES = f"""WITH ts AS (SELECT doc_id, {D.terms('text')} AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS w FROM ts),
+def _features(source: str) -> str:
+    """Common tables up to b (doc_id, bucket, x) over a table of doc_id and text."""
+    return f"""ts AS (SELECT doc_id, {D.terms('text')} AS t FROM {source}), w AS (SELECT doc_id, unnest(t) AS w FROM ts),
 f AS (SELECT doc_id, 'w:' || w AS f, 20 AS x FROM w UNION ALL SELECT doc_id, 'b:' || t[p] || '_' || t[p + 1], 12 FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS p FROM ts)
   UNION ALL SELECT doc_id, 'c:' || substr(w, p, 4), 5 FROM (SELECT doc_id, w, unnest(range(1, length(w) - 2)) AS p FROM w WHERE length(w) >= 5)),
 g AS (SELECT doc_id, f, sum(x) AS x FROM f GROUP BY ALL), hh AS (SELECT f, {D.fnv('f')} AS h FROM (SELECT DISTINCT f FROM g)),
-b AS (SELECT doc_id, h % 512 AS bucket, CAST(sum(CASE WHEN h >= 2147483648 THEN -x ELSE x END) AS BIGINT) AS x FROM g JOIN hh USING (f) GROUP BY ALL)"""
+b AS (SELECT doc_id, h % 512 AS bucket, CAST(sum(CASE WHEN h >= 2147483648 THEN -x ELSE x END) AS BIGINT) AS x FROM g JOIN hh USING (f) GROUP BY ALL),
+unit AS (SELECT doc_id, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)::DOUBLE) AS weight FROM b WHERE x <> 0)"""
 
 
-@query("local_embed", f"{_FEATURES} SELECT doc_id, bucket, {D.rounded('x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)::DOUBLE)', 6)} AS weight FROM b WHERE x <> 0")
+@query("local_embed", f"WITH {_features('documents')} SELECT doc_id, bucket, {D.rounded('weight', 6)} AS weight FROM unit")
 def _(spark, d):
     return V.local_embed(text_table(spark, d, "documents"), "doc_id", F.col("text")).select("doc_id", "bucket", r(F.col("weight"), 6).alias("weight"))
 
@@ -552,24 +639,100 @@ def _(spark, d):
     return rows.orderBy(F.desc("score"), "doc_id").limit(8).crossJoin(F.broadcast(total)).select("doc_id", r(F.col("score"), 4).alias("score"), r(F.coalesce("vector_score", F.lit(-1.0)), 3).alias("vector_score"), "total")
 
 
+_Q = "orantion"
+_SEARCH_CORE = f"""{_ranked("('orantion', 1.0::DOUBLE), ('~oranti', 0.35)")},
+boost AS (SELECT doc_id, lang, score * CASE WHEN contains({_HEADLINE}, '{_Q}') THEN 1.6 WHEN contains(lower(search_text), '{_Q}') THEN 1.25 ELSE 1.0 END AS score FROM bm JOIN lib USING (doc_id)),
+texts AS (SELECT doc_id, concat_ws(chr(10), nullif(title, ''), nullif(description, ''), nullif(site_name, ''), nullif(replace(domain, '.', ' '), ''), nullif(left(excerpt, 1600), ''), nullif(lang, '')) AS text FROM lib UNION ALL SELECT -1, '{_Q}'),
+{_features('texts')}, near AS (SELECT a.doc_id, round(sum(a.weight * b.weight), 9) AS s FROM unit a JOIN unit b ON a.bucket = b.bucket AND b.doc_id = -1 AND a.doc_id <> -1 GROUP BY a.doc_id)"""
+
+
+def _search_sql(where: str, limit: int, columns: str) -> str:
+    return f"""{_SEARCH_CORE}, kw AS (SELECT doc_id, score / max(score) OVER () AS k, row_number() OVER (ORDER BY score DESC, doc_id) AS keyword_rank FROM (SELECT * FROM boost WHERE {where} ORDER BY score DESC, doc_id LIMIT 60)),
+vs AS (SELECT doc_id, s FROM near JOIN lib USING (doc_id) WHERE {where} ORDER BY s DESC, doc_id LIMIT 60),
+vr AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS vector_rank, max(s) OVER () AS top FROM vs), vk AS (SELECT *, least(1.0, greatest(0.0, (s - 0.04) / 0.26)) AS c FROM vr WHERE s >= greatest(0.02, 0.4 * top)),
+fused AS (SELECT doc_id, coalesce(k, 0) + 0.8 * coalesce(c, 0) AS score, keyword_rank, vector_rank, s, count(*) OVER () AS total FROM kw FULL JOIN vk USING (doc_id) WHERE k IS NOT NULL OR c >= 0.12),
+best AS (SELECT * FROM fused ORDER BY score DESC, doc_id LIMIT {limit}),
+ev AS (SELECT doc_id, len(list_filter({D.terms("concat_ws(' — ', nullif(title, ''), nullif(description, ''))")}, lambda x: x = '{_Q}')) AS h, len(list_filter({D.terms('excerpt')}, lambda x: x = '{_Q}')) AS e FROM lib)
+SELECT doc_id, {columns}, CAST(keyword_rank AS BIGINT) AS keyword_rank, CAST(vector_rank AS BIGINT) AS vector_rank, CAST(total AS BIGINT) AS total, CASE WHEN h = 0 AND e = 0 THEN 'semantic' WHEN e > h THEN 'page' ELSE 'title' END AS matched_in FROM best JOIN ev USING (doc_id)"""
+
+
+@query("search_library", _search_sql("true", 30, f"{D.rounded('score', 6)} AS score, {D.rounded('s', 6)} AS vector_score"))
+def _(spark, d):
+    from sedgewren.operators.search import search
+
+    found = search(_library(spark, d), f" {_Q} ", topic="nothing", slugs=("en", "de", "fr", "es"))
+    return found.select("doc_id", r(F.col("score"), 6).alias("score"), r(F.col("vector_score"), 6).alias("vector_score"), "keyword_rank", "vector_rank", "total", "matched_in")
+
+
+@query("search_endpoint", _search_sql("lang = 'en'", 8, f"{D.rounded('score', 4)} AS score, {D.rounded('s', 3)} AS vector_score"))
+def _(spark, d):
+    from sedgewren.operators.search import search_endpoint
+
+    return search_endpoint(_library(spark, d), _Q, "en", "0", ("en", "de", "fr", "es")).select("doc_id", "score", "vector_score", "keyword_rank", "vector_rank", "total", "matched_in")
+
+
+@query("search_recent", "SELECT doc_id, CAST(count(*) OVER () AS BIGINT) AS total, 0.0::DOUBLE AS score FROM documents WHERE lang = 'de' ORDER BY doc_id DESC LIMIT 50")
+def _(spark, d):
+    from sedgewren.operators.search import search_endpoint
+
+    return search_endpoint(_library(spark, d), "  ", "de", 500).select("doc_id", "total", "score")
+
+
+@query("embed_text", f"WITH {_ENTRIES} SELECT doc_id, concat_ws(chr(10), nullif(title, ''), nullif(description, ''), nullif(site_name, ''), nullif(replace(domain, '.', ' '), ''), nullif(left(text, 1600), ''), nullif(lang, '')) AS embed_text FROM lib")
+def _(spark, d):
+    from sedgewren.operators.search import embed_text
+
+    return _entries(spark, d).select("doc_id", embed_text(*map(F.col, ("title", "description", "site_name", "domain", "text", "topics"))).alias("embed_text"))
+
+
+_ASKED = "('thing', 'inoran', 'orantion', 'fr')"
+
+
 @query(
     "matched_in",
-    f"SELECT doc_id, CASE WHEN h = 0 AND e = 0 THEN 'semantic' WHEN e > h THEN 'excerpt' ELSE 'title' END AS matched_in FROM (SELECT doc_id, len(list_filter({D.terms('left(text, 200)')}, lambda x: x IN ('thing', 'inoran'))) AS h, len(list_filter({D.terms('text')}, lambda x: x IN ('thing', 'inoran'))) AS e FROM documents)",
+    f"""WITH {_ENTRIES}, n AS (SELECT doc_id, lang, len(list_filter({D.terms("concat_ws(' — ', nullif(title, ''), nullif(description, ''))")}, lambda x: x IN {_ASKED})) AS h, len(list_filter({D.terms('excerpt')}, lambda x: x IN {_ASKED})) AS e FROM lib)
+SELECT doc_id, CASE WHEN h = 0 AND e = 0 THEN CASE WHEN lang = 'fr' THEN 'topic' ELSE 'semantic' END WHEN e > h THEN 'page' ELSE 'title' END AS matched_in FROM n""",
+)
+def _(spark, d):
+    from sedgewren.operators.snippets import best_evidence
+
+    found = best_evidence(*map(F.col, ("title", "description", "excerpt", "topics")), [*WORDS, "fr"])
+    return _entries(spark, d).select("doc_id", found["matched_in"].alias("matched_in"))
+
+
+_WORD = "[\\p{L}\\p{N}][\\p{L}\\p{N}''+#.\\-]*"
+
+
+@query(
+    "highlight_runs",
+    f"""WITH pc AS (SELECT doc_id, unnest(ps) AS w, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_WORD}|[^\\p{{L}}\\p{{N}}]+') AS ps FROM documents)),
+f AS (SELECT *, coalesce({D.stem('lower(w)')} IN ('thing', 'inoran', 'orantion'), false) AS m FROM pc), g AS (SELECT *, 2 * count(*) FILTER (m) OVER (PARTITION BY doc_id ORDER BY i) - m::INT AS k FROM f)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS pos, string_agg(w, '' ORDER BY i) AS text, bool_or(m) AS match FROM g GROUP BY doc_id, k""",
 )
 def _(spark, d):
-    from sedgewren.operators.snippets import matched_in
+    from sedgewren.operators.snippets import highlight_runs
 
-    return text_table(spark, d, "documents").select("doc_id", matched_in(F.substring("text", 1, 200), F.col("text"), WORDS).alias("matched_in"))
+    runs = text_table(spark, d, "documents").select("doc_id", F.posexplode(highlight_runs(F.col("text"), WORDS)).alias("p", "x"))
+    return runs.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "x.text", "x.match")
 
 
-@query("highlight_hits", f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''+#.\\-]*'), lambda w: {D.stem('lower(w)')} IN ('thing', 'inoran'))) AS BIGINT) AS hits FROM documents")
+@query("highlight_hits", f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''+#.\\-]*'), lambda w: {D.stem('lower(w)')} IN ('thing', 'inoran', 'orantion'))) AS BIGINT) AS hits FROM documents")
 def _(spark, d):
     from sedgewren.operators.snippets import highlight_words
 
     return text_table(spark, d, "documents").select("doc_id", F.size(highlight_words(F.col("text"), WORDS)).cast("long").alias("hits"))
 
 
-@query("snippet")
+_SNIPPET = f"""WITH ws AS (SELECT doc_id, c, string_split(c, ' ') AS ws FROM (SELECT doc_id, {D.collapsed("coalesce(text, '')")} AS c FROM documents)),
+w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM ws),
+flag AS (SELECT w, CASE WHEN coalesce({D.stem('t')} IN ('thing', 'inoran', 'orantion'), false) THEN 1 ELSE 0 END AS hit FROM (SELECT w, {D.tokens('w')}[1] AS t FROM (SELECT DISTINCT w FROM w))),
+s AS (SELECT doc_id, n, i, sum(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING) AS sc FROM w JOIN flag USING (w)),
+best AS (SELECT doc_id, max(sc) AS sc, arg_min(i, (-sc, i)) AS i, any_value(n) AS n FROM s WHERE i % 3 = 0 AND i <= greatest(0, n - 40) GROUP BY doc_id),
+cut AS (SELECT *, array_to_string(ws[i + 1:i + 40], ' ') AS piece FROM best JOIN ws USING (doc_id))
+SELECT doc_id, CASE WHEN sc > 0 THEN regexp_replace(CASE WHEN i > 0 THEN '…' ELSE '' END || {D.truncated('piece', 240)} || CASE WHEN i + 40 < n THEN '…' ELSE '' END, '……', '…', 'g') ELSE {D.truncated('c', 240)} END AS snippet FROM cut"""
+
+
+@query("snippet", _SNIPPET)
 def _(spark, d):
     from sedgewren.operators.snippets import snippets
 
@@ -672,6 +835,20 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", status_label(state).alias("label"))
 
 
+@query("topic_label", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'Deutsch' ELSE lang END AS label FROM documents")
+def _(spark, d):
+    from sedgewren.operators.topics import topic_label
+
+    return table(spark, d, "documents").select("doc_id", topic_label(F.col("lang"), {"en": "English", "de": "Deutsch"}).alias("label"))
+
+
+@query("point_lookup", "SELECT doc_id, lang FROM documents WHERE doc_id = 7")
+def _(spark, d):
+    from sedgewren.operators.search import entry
+
+    return entry(table(spark, d, "documents"), 7).select("doc_id", "lang")
+
+
 @query("detail_label", "SELECT doc_id, CASE WHEN coalesce(lang, '') <> '' AND lower(lang) <> lower(source) THEN lang || ' · ' || source ELSE source END AS label FROM documents")
 def _(spark, d):
     from sedgewren.operators.choices import detail_label

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -56,6 +57,18 @@ def shared_dir(spark: SparkSession) -> str:
     return fs.makeQualified(path).toString().rstrip("/")
 
 
+def files_digest(spark: SparkSession, path: str) -> str:
+    """Tells the files under a path apart from others, or from later ones, by names, lengths and times."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, listed = [], fs.listFiles(fs.makeQualified(target), True)
+    while listed.hasNext():
+        f = listed.next()
+        found.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/sedgewren/{tag}-{uuid.uuid4().hex}"
 

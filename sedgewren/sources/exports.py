@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,12 +114,15 @@ def first_of_each(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return best.unionByName(rows.where(~known))
 
 
-def assemble(spark: SparkSession, folder: str, minimum: int | None = None) -> Assembly:
+def assemble(spark: SparkSession, folder: str, minimum: int | None = None, if_complete: bool = False) -> Assembly:
     """Verifies every part that folder/manifest.json lists against its bytes, lines and records, then joins them in the
-    manifest's order, the first record of an id winning. Nothing is assembled while a part is broken or missing."""
+    manifest's order, the first record of an id winning. Nothing is assembled while a part is broken or missing.
+
+    With if_complete, parts that haven't come yet (or no manifest) are no failure: the result is ok and has no records.
+    Broken parts stay one."""
     manifest_path = f"{folder}/manifest.json"
     if not exists(spark, manifest_path):
-        return Assembly(False, message=f"No manifest at {manifest_path}.")
+        return Assembly(if_complete, message=f"No manifest at {manifest_path}.")
     manifest = spark.read.schema(MANIFEST_SCHEMA).json(manifest_path, multiLine=True).first()
     if manifest is None or not manifest["parts"]:
         return Assembly(False, message=f"{manifest_path} lists no parts.")
@@ -132,7 +136,7 @@ def assemble(spark: SparkSession, folder: str, minimum: int | None = None) -> As
     broken = {f: p for f, p in state.items() if p}
     missing = [p["file"] for p in manifest["parts"] if p["file"] not in state]
     if broken or missing:
-        return Assembly(False, broken, missing, f"{len(broken)} broken, {len(missing)} missing of {len(manifest['parts'])} parts; nothing was assembled.")
+        return Assembly(if_complete and not broken, broken, missing, f"{len(broken)} broken, {len(missing)} missing of {len(manifest['parts'])} parts; nothing was assembled.")
     every = read.select("part", F.posexplode("records").alias("pos", "r"))
     key = F.coalesce(F.try_variant_get(node(F.col("r"), "$.id", "$.post_id"), "$", "string"), F.lit(""))
     every = every.select("part", "pos", key.alias("id"), F.to_json("r").alias("record"))
@@ -200,6 +204,15 @@ def empty_index(spark: SparkSession, model: str, dimensions: int = DIMENSIONS) -
     return links, vectors, meta
 
 
+def require(export: ExportRead) -> DataFrame:
+    """The records of a guarded read, or an error that says what is wrong; rejected entries are warned of."""
+    if not export.ok:
+        raise ValueError(export.message)
+    if export.skipped:
+        warnings.warn(f"{export.skipped} entries were rejected", stacklevel=2)
+    return export.records
+
+
 def build_action(index_complete: bool, export: ExportRead) -> str:
     """use, use_stale, rebuild, stub or fail: an index is never emptied by a broken export, only by a missing one."""
     if not export.ok and export.reason != "missing":

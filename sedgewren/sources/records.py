@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgewren.functions.urls import canonical_url, is_external, is_shortener
+from sedgewren.functions.urls import canonical_url, domain, is_external, is_shortener
 
 #: The names that exports give to a field, likeliest first, and the form of a post's address.
 ID_NAMES = ("$.id", "$.post_id", "$.tweet_id", "$.id_str", "$.rest_id", "$.legacy.id_str")
@@ -119,3 +119,41 @@ def normalise(rows: DataFrame, record: str, order: str) -> DataFrame:
 
 def newest_first(records: DataFrame) -> DataFrame:
     return records.orderBy(F.desc("created_at"), "id")
+
+
+#: What a report warns of, where any record shows it.
+WARNINGS = {
+    "rejected": "were rejected",
+    "unknown_authors": "have no author that can be told",
+    "undated": "have no usable date",
+    "empty_text": "have no text",
+    "short_only": "carry short links alone, which must be resolved first",
+}
+
+
+def quality_report(records: DataFrame, skipped: int = 0) -> DataFrame:
+    """One row about normalised records: how many there are; distinct links, short links, domains and authors; how many are
+    undated, by an unknown author, without text, with short links alone, or without any link."""
+    links, shorts = F.size("external_urls"), F.size("short_urls")
+    counted = records.agg(
+        F.count("*").alias("records"), F.count_distinct(F.lower("author_handle")).alias("authors"),
+        F.count_if(F.unix_micros("created_at") <= 0).alias("undated"), F.count_if(F.col("author_handle") == "unknown").alias("unknown_authors"),
+        F.count_if(F.regexp_replace("text", r"(?U)^\s+|\s+$", "") == "").alias("empty_text"), F.count_if((links == 0) & (shorts > 0)).alias("short_only"), F.count_if((links == 0) & (shorts == 0)).alias("no_links"),
+    )
+    found = records.select(F.explode("external_urls").alias("url")).distinct().withColumn("host", F.nullif(domain(F.col("url")), F.lit("")))
+    linked = found.agg(F.count("*").alias("links"), F.count_distinct("host").alias("domains"))
+    short = records.select(F.explode("short_urls").alias("url")).agg(F.count_distinct("url").alias("short_links"))
+    return counted.crossJoin(linked).crossJoin(short).withColumn("rejected", F.lit(skipped).cast("long"))  # of one row each
+
+
+def report_warnings(report: DataFrame) -> DataFrame:
+    """kind, n, percent, message for what the report's row should be warned of; percent of the records, rounded."""
+    told = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n"), F.lit(m).alias("message")) for k, m in WARNINGS.items()])
+    rows = report.select("records", F.inline(told)).where("n > 0")
+    percent = F.floor(F.when(F.col("records") > 0, 100 * F.col("n") / F.col("records")).otherwise(0.0) + 0.5).cast("long")
+    return rows.select("kind", "n", percent.alias("percent"), F.concat(F.col("n").cast("string"), F.lit(" records ("), percent.cast("string"), F.lit("%) "), F.col("message")).alias("message"))
+
+
+def meets(report: DataFrame, minimum: int) -> bool:
+    """Whether there are as many records as expected."""
+    return report.first()["records"] >= minimum
