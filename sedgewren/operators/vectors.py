@@ -26,9 +26,9 @@ def local_embed(docs: DataFrame, id_col: str, text: Column, dims: int = DIMENSIO
     rows = ws.select("doc_id", F.explode(F.concat(one, two, four)).alias("i")).groupBy("doc_id", F.col("i.f").alias("f")).agg(F.sum("i.x").alias("x")).withColumn("h", fnv1a(F.col("f")))
     signed = F.when(F.col("h") >= 2147483648, -F.col("x")).otherwise(F.col("x"))
     buckets = rows.groupBy("doc_id", (F.col("h") % dims).alias("bucket")).agg(F.sum(signed).alias("x")).where("x <> 0")
-    whole = buckets.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "x")).alias("of"))  # at most dims entries a row
-    norm = F.sqrt(F.aggregate("of", F.lit(0).cast("long"), lambda s, v: s + v["x"] * v["x"]).cast("double"))
-    return whole.select("doc_id", norm.alias("norm"), F.inline("of")).select("doc_id", "bucket", (F.col("x") / F.col("norm")).alias("weight"))
+    # the norm is a sum of its own: an expression over the list would be evaluated anew for each of the list's rows
+    whole = buckets.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "x")).alias("of"), F.sqrt(F.sum(F.col("x") * F.col("x")).cast("double")).alias("norm"))  # at most dims entries a row
+    return whole.select("doc_id", "norm", F.inline("of")).select("doc_id", "bucket", (F.col("x") / F.col("norm")).alias("weight"))
 
 
 def dot(a: Column, b: Column) -> Column:
