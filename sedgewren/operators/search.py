@@ -77,9 +77,12 @@ def complete(spark: SparkSession, folder: str) -> bool:
 
 
 def open_search_index(spark: SparkSession, folder: str) -> Index:
-    read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    facts = read("facts")
-    return Index(read("entries"), read("postings"), read("weights"), facts.select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("avg_len")), facts.first()["buckets"])
+    entries, facts = spark.read.parquet(f"{folder}/entries"), spark.read.parquet(f"{folder}/facts")
+    kind = entries.schema["doc_id"].dataType.simpleString()  # given, as an empty table in folders has no file to tell its columns
+    postings = spark.read.schema(f"doc_id {kind}, len long, term string, tf long, bucket int").parquet(f"{folder}/postings")
+    weights = spark.read.schema(f"doc_id {kind}, dim long, weight double, part int").parquet(f"{folder}/weights")
+    average = F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0)
+    return Index(entries, postings, weights, facts.select("n", average.alias("avg_len")), facts.first()["buckets"])
 
 
 def query_terms(spark: SparkSession, query: str) -> list[str]:
