@@ -12,7 +12,7 @@ K1, B, PREFIX_FACTOR = 1.4, 0.75, 0.35
 #: Queries of more characters than this may be boosted, where a headline or only the text holds them.
 BOOST_OVER, MOST_BOOST, TEXT_BOOST = 4, 1.6, 1.25
 #: Decimals of a score: sums that come in another order, as after a lost executor, give the same ranks.
-PLACES = 9
+PLACES = 12
 #: Hundredths of a field's weight, and of its prefix keys.
 FIELD_WEIGHTS = {"search_text": (100, 35), "title": (340, 119), "description": (240, 84), "domain": (220, 77), "topics": (200, 70)}
 

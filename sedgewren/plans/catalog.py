@@ -497,7 +497,7 @@ def _ranked(keys: str) -> str:
     return f"""{_POSTINGS}, keys(key, factor) AS (VALUES {keys}),
 hit AS (SELECT doc_id, term, factor, tf / 100.0::DOUBLE AS tf FROM post JOIN keys ON term = key),
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM hit GROUP BY term), st AS (SELECT count(*) AS n, avg(len) AS al FROM len),
-bm AS (SELECT doc_id, round(sum(factor * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / al))), 9) AS score FROM hit JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY doc_id)"""
+bm AS (SELECT doc_id, round(sum(factor * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / al))), 12) AS score FROM hit JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY doc_id)"""
 
 
 _BM25 = _ranked("('thing', 1.0::DOUBLE), ('inoran', 1.0), ('orantion', 1.0), ('~oranti', 0.35)")
@@ -643,7 +643,7 @@ _Q = "orantion"
 _SEARCH_CORE = f"""{_ranked("('orantion', 1.0::DOUBLE), ('~oranti', 0.35)")},
 boost AS (SELECT doc_id, lang, score * CASE WHEN contains({_HEADLINE}, '{_Q}') THEN 1.6 WHEN contains(lower(search_text), '{_Q}') THEN 1.25 ELSE 1.0 END AS score FROM bm JOIN lib USING (doc_id)),
 texts AS (SELECT doc_id, concat_ws(chr(10), nullif(title, ''), nullif(description, ''), nullif(site_name, ''), nullif(replace(domain, '.', ' '), ''), nullif(left(excerpt, 1600), ''), nullif(lang, '')) AS text FROM lib UNION ALL SELECT -1, '{_Q}'),
-{_features('texts')}, near AS (SELECT a.doc_id, round(sum(a.weight * b.weight), 9) AS s FROM unit a JOIN unit b ON a.bucket = b.bucket AND b.doc_id = -1 AND a.doc_id <> -1 GROUP BY a.doc_id)"""
+{_features('texts')}, near AS (SELECT a.doc_id, round(sum(a.weight * b.weight), 12) AS s FROM unit a JOIN unit b ON a.bucket = b.bucket AND b.doc_id = -1 AND a.doc_id <> -1 GROUP BY a.doc_id)"""
 
 
 def _search_sql(where: str, limit: int, columns: str) -> str:
