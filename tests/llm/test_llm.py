@@ -4,9 +4,11 @@ import json
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +337,60 @@ def test_a_group_of_near_copies_gives_few_rows(spark):
     assert made[800] < 6 * made[200]
 
 
+def worker(monkeypatch, frame, make):
+    """What make(frame) runs in a worker: a function from record batches to record batches."""
+    found = []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: found.append(run) or self)
+    make(frame)
+    monkeypatch.undo()
+    return found[-1]
+
+
+def test_workers_hand_on_bounded_batches(spark, monkeypatch):
+    # op4_ngram_join, pipeline: a batch is held outside the heap too, so its size must not follow the input's
+    texts = [" ".join(f"{k // 2}-{i}" for i in range(5000)) + f" {k}" for k in range(40)]
+    run = worker(monkeypatch, spark.createDataFrame([], "doc_id long, text string"), lambda docs: jaccard_join.summarise(docs, 3))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), pa.array(texts)], names=["doc_id", "hash", "text"])
+    out = list(run(iter([batch])))
+    assert sum(x.num_rows for x in out) == 40 + 20 * 4998 and {n for x in out for n in x.column(5).to_pylist()} == {None, 2}
+    assert max(x.num_rows for x in out) <= 1 << 15
+
+    keys, sets, n = 5000, 8, 10  # every two sets of a key may link
+    key, own, left = np.repeat(np.arange(keys), sets) * 2, 2 * 90 * n, n
+    meta = np.full(len(key), own << (jaccard_join.LEFT_BITS + 3) | left << 3)
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(np.arange(sets), keys) + key * sets), pa.array(meta), pa.nulls(len(key), pa.int64())], names=["key", "class", "meta", "root"])
+    run = worker(monkeypatch, spark.createDataFrame([], jaccard_join.ROWS), lambda rows: jaccard_join.meet(rows, 90, jaccard_join.Limits()))
+    out = list(run(iter([rows])))
+    assert sum(x.num_rows for x in out) == keys * sets * (sets - 1) // 2
+    assert max(x.num_rows for x in out) <= 1 << 15
+
+
+def test_the_join_reads_files_in_turn(spark):
+    spark.conf.unset("parquet.hadoop.vectored.io.enabled")
+    jaccard_join.similarity_components(odd_docs(spark).limit(0))
+    assert spark.conf.get("parquet.hadoop.vectored.io.enabled") == "false"
+
+
+def test_counting_and_cells_need_little_room():
+    # op4_ngram_join, pipeline: workers share an executor's memory with its heap
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) for _ in range(50)]
+    sets[1] = np.unique(np.concatenate([sets[0][:-9], sets[1][:9]]))
+    tracemalloc.start()
+    try:
+        edges = list(jaccard_join.cell_edges(list(range(50)), [0] * 50, sets, 90))
+        cell_bytes = tracemalloc.get_traced_memory()[1]
+        x = np.concatenate(sets)
+        tracemalloc.reset_peak()
+        tokens, counts = jaccard_join.repeated(x)
+        count_bytes = tracemalloc.get_traced_memory()[1] - x.nbytes
+    finally:
+        tracemalloc.stop()
+    want, n = np.unique(np.concatenate(sets), return_counts=True)
+    assert edges == [(1, 0)] and cell_bytes < 3.5 * x.nbytes
+    assert tokens.tolist() == want[n > 1].tolist() and counts.tolist() == n[n > 1].tolist() and count_bytes < x.nbytes
+
+
 def test_rows_without_an_id_link_others_and_keep_one_goes_by_row(spark):
     words = [f"w{i}" for i in range(200)]
     changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
