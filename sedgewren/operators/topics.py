@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgewren.functions.text import terms
+from sedgewren.operators.analysis import term_counts
 
 #: Points for a listed domain and for a hint, and what picks need.
 DOMAIN_POINTS, HINT_POINTS, LEAST_SHARE, MOST_TOPICS = 12.0, 18.0, 0.34, 3
@@ -20,8 +20,11 @@ def host_suffixes(host: Column) -> Column:
 def topic_scores(docs: DataFrame, id_col: str, text: Column, taxonomy: DataFrame, domains: DataFrame | None = None, host: Column | None = None, hints: Column | None = None) -> DataFrame:
     """doc_id, slug, ord, score: sums over keywords of weight * (1 + ln n), relative to the document's best, 3 places.
 
-    The taxonomy is small and broadcast. A keyword with a hyphen also matches its joined form where the whole is absent."""
-    counted = docs.select(F.col(id_col).alias("doc_id"), terms(text).alias("_t")).select("doc_id", F.explode("_t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    The taxonomy is small and broadcast, and only counts of its keywords are shuffled. A keyword with a hyphen also matches its
+    joined form where the whole is absent."""
+    forms = taxonomy.select(F.explode(F.array("keyword", F.regexp_replace("keyword", "-", ""))).alias("term")).distinct()
+    found = term_counts(docs.select(F.col(id_col).alias("doc_id"), text.alias("_t")), "doc_id", F.col("_t")).join(F.broadcast(forms), "term", "left_semi")
+    counted = found.groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
     small = F.broadcast(taxonomy)
     whole = counted.join(small, counted["term"] == taxonomy["keyword"]).select("doc_id", "slug", "ord", "keyword", "weight", "n", F.lit(0).alias("k"))
     joined = F.broadcast(taxonomy.where(F.contains("keyword", F.lit("-"))).withColumn("_bare", F.regexp_replace("keyword", "-", "")))
